@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import simhash
+from lattica.llm import simhash, toxicity
 
 
 def op1_simhash(spark, sf_dir):
     return simhash.op1(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_toxicity": op5_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
