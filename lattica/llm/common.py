@@ -42,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have at most ``rows`` (narrow) rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables made by :func:`written` once nothing reads them any more; frees disk between iterations."""
     for df in frames:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import simhash, toxicity
+from lattica.llm import langid, simhash, toxicity
 
 
 def op1_simhash(spark, sf_dir):
@@ -14,9 +14,14 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_langid(spark, sf_dir):
+    return langid.op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_toxicity": op5_toxicity,
+    "op9_langid": op9_langid,
 }
 
 ORACLES: dict[str, str] = {}
