@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, simhash, toxicity
+from lattica.llm import langid, lm, simhash, toxicity
 
 
 def op1_simhash(spark, sf_dir):
@@ -18,10 +18,15 @@ def op9_langid(spark, sf_dir):
     return langid.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark, sf_dir):
+    return lm.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_toxicity": op5_toxicity,
     "op9_langid": op9_langid,
+    "op10_lm": op10_lm,
 }
 
 ORACLES: dict[str, str] = {}
