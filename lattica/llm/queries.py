@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, simhash, toxicity
+from lattica.llm import langid, lm, simhash, toxicity, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -22,8 +22,13 @@ def op10_lm(spark, sf_dir):
     return lm.op10(table(spark, sf_dir, "documents"))
 
 
+def op3_winnowing(spark, sf_dir):
+    return winnow.op3(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_winnowing": op3_winnowing,
     "op5_toxicity": op5_toxicity,
     "op9_langid": op9_langid,
     "op10_lm": op10_lm,
