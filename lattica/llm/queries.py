@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, simhash, toxicity, winnow
+from lattica.llm import langid, lm, simhash, toxicity, warc, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -26,12 +26,17 @@ def op3_winnowing(spark, sf_dir):
     return winnow.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.op4(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_winnowing": op3_winnowing,
+    "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op9_langid": op9_langid,
     "op10_lm": op10_lm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
