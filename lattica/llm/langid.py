@@ -4,8 +4,8 @@ A profile is the list of the most frequent character n-grams (one to three chara
 frequent first. A document goes to the language whose profile is nearest: the sum, over the document's n-grams, of how far
 out of place each is, with the profile's length for an n-gram that is not in it.
 
-Profiles are learned from a bounded sample: the first ``PER_LANGUAGE`` documents of each language by hash of the id, whole
-texts. All documents are scored over their whole text.
+Profiles are learned from a bounded sample: by hash of the id, ``PER_LANGUAGE`` documents of each language on average (all
+where there are fewer), whole texts. All documents are scored over their whole text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts first; if
 nothing can be learned all documents are ``und``; repeated rows are scored each; an empty table gives an empty table;
@@ -19,7 +19,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import broadcast_if_small, fold
@@ -56,10 +56,10 @@ def profile(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nd
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Profiles by language from (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    chosen = ids.withColumn("rank", F.row_number().over(order)).where(f"rank <= {per_language}").select("doc_id", "lang").distinct()
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id").select("text", "lang")
+    shares = ids.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40).cast("long")) / F.lit(float(1 << 40))
+    texts = docs.join(broadcast_if_small(shares), "lang").where(place < F.col("share")).select("text", "lang")
 
     def run(batches):
         for batch in batches:
@@ -73,12 +73,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.nda
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.int64(), pa.int64()))], names=["lang", "gram", "n"])
 
     counted = texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counted.withColumn("rank", F.row_number().over(first)).where(f"rank <= {PROFILE}").select("lang", "gram", "rank").collect()
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
-        out.setdefault(r["lang"], []).append(r["gram"])
-    return {lang: np.array(codes, np.int64) for lang, codes in out.items()}
+    table = counted.toArrow()  # no more than the sample's n-grams
+    langs, codes, counts = table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy()
+    return {str(lang): profile(codes[langs == lang], counts[langs == lang]) for lang in sorted(set(langs.tolist()))}
 
 
 class Ranker:
