@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, simhash, toxicity, warc, winnow
+from lattica.llm import langid, lm, mixing, simhash, toxicity, warc, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -30,13 +30,18 @@ def op4_warc(spark, sf_dir):
     return warc.op4(table(spark, sf_dir, "pages"))
 
 
+def op8_pfair(spark, sf_dir):
+    return mixing.op8(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_winnowing": op3_winnowing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op8_pfair": op8_pfair,
     "op9_langid": op9_langid,
     "op10_lm": op10_lm,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op8_pfair": mixing.ORACLE}
