@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, mixing, simhash, toxicity, warc, winnow
+from lattica.llm import langid, lm, mixing, pii, simhash, toxicity, warc, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -34,11 +34,16 @@ def op8_pfair(spark, sf_dir):
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op7_surrogates(spark, sf_dir):
+    return pii.op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_winnowing": op3_winnowing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op7_surrogates": op7_surrogates,
     "op8_pfair": op8_pfair,
     "op9_langid": op9_langid,
     "op10_lm": op10_lm,
