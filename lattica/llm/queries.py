@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, mixing, pii, simhash, toxicity, warc, winnow
+from lattica.llm import langid, lm, mixing, pieces, pii, simhash, toxicity, warc, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -38,11 +38,16 @@ def op7_surrogates(spark, sf_dir):
     return pii.op7(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark, sf_dir):
+    return pieces.op6(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_winnowing": op3_winnowing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_pieces": op6_pieces,
     "op7_surrogates": op7_surrogates,
     "op8_pfair": op8_pfair,
     "op9_langid": op9_langid,
