@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lattica.llm.common import table
-from lattica.llm import langid, lm, mixing, pieces, pii, simhash, toxicity, warc, winnow
+from lattica.llm import ann, langid, lm, mixing, pieces, pii, simhash, toxicity, warc, winnow
 
 
 def op1_simhash(spark, sf_dir):
@@ -42,8 +42,13 @@ def op6_pieces(spark, sf_dir):
     return pieces.op6(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark, sf_dir):
+    return ann.op2(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_ann": op2_ann,
     "op3_winnowing": op3_winnowing,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
