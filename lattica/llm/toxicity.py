@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import fold
@@ -43,10 +43,8 @@ def words(text: str | None) -> list[str]:
 def sample(labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> DataFrame:
     """(doc_id, toxic, curve): at most ``per_class`` labelled ids of each class, the first by hash; a quarter is for the curve."""
     rows = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(f"rank <= {max(per_class.values())}")
-    bound = F.when(F.col("toxic") == 1, per_class[1]).otherwise(per_class[0])
-    return ranked.where(F.col("rank") <= bound).select("doc_id", "toxic", (F.col("rank") % 4 == 0).alias("curve"))
+    chosen = [rows.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[c]) for c, kind in ((1, "toxic = 1"), (0, "toxic <> 1"))]
+    return chosen[0].union(chosen[1]).withColumn("curve", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0)
 
 
 def weights(texts: DataFrame) -> dict[str, float]:
