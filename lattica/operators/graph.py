@@ -231,12 +231,64 @@ def _spread(links: DataFrame, labels: DataFrame, limit: DataFrame | None = None)
             return labels
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_kernel(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """Smallest node of the component of each node on a cycle of two or more: one depth-first search, without recursion."""
+    links = defaultdict(list)
+    for s, t in pairs:
+        links[s].append(t)
+    number, low, stack, on, out = {}, {}, [], set(), {}
+    for root in sorted(links):
+        if root in number:
+            continue
+        work = [(root, iter(links[root]))]
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(links.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], number[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == number[v]:
+                    part = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        part.append(w)
+                        if w == v:
+                            break
+                    if len(part) > 1:
+                        out.update(dict.fromkeys(part, min(part)))
+    return out
+
+
+IN_ONE_TASK = 200_000
+
+
+def strong_components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(id, component): nodes of strongly connected components of two or more, named by their smallest id.
 
-    Rounds of forward colouring by the smallest label, then a backward search from each colour's root inside the colour;
+    Up to ``in_one_task`` distinct edges, counted first, are searched by one task. Beyond that: rounds of forward colouring by the smallest label, then a backward search from each colour's root inside the colour;
     what is found leaves the graph, the rest is trimmed and coloured again."""
-    links = trim(edges)
+    distinct = cut(edges.where("source_id <> target_id").select("source_id", "target_id").distinct(), "links")
+    if distinct.count() <= in_one_task:
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            parts = strong_kernel(list(zip(frame["source_id"].tolist(), frame["target_id"].tolist())))
+            return pd.DataFrame({"id": list(parts), "component": list(parts.values())}, dtype="int64")
+
+        return distinct.groupBy().applyInPandas(run, "id long, component long")
+    links = trim(distinct)
     found = None
     while not links.isEmpty():
         ends = links.select(F.col("source_id").alias("id")).union(links.select("target_id")).distinct()
