@@ -37,11 +37,13 @@ from lattica.llm.common import list_array
 MODEL = os.environ.get("LATTICA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 RATE = 0.1
 SEED = 17
-VARIANTS = 4
+VARIANTS = 2
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_KEPT = 500_000
-_MASK = (1 << 64) - 1
+_KEPT = 300_000
+_SHORT = 64
+_NONE = 1 << 30
+_MASK, _A, _B, _C, _D = (1 << 32) - 1, 0x2C1B3C6D, 0x297A2D39, 0x9E3779B1, 0x85EBCA77
 
 
 class Pieces:
@@ -53,7 +55,7 @@ class Pieces:
         if model.trainer_spec.model_type != model.trainer_spec.BPE or not model.trainer_spec.byte_fallback:
             raise ValueError("a BPE model with byte fallback is needed")
         self.seed, self.limit = seed, int(rate * (1 << 32))
-        self.ids, self.score, self.plain = {}, [p.score for p in model.pieces], []
+        self.ids, self.plain = {}, []
         self.bytes = [0] * 256
         for i, p in enumerate(model.pieces):
             if p.type == p.BYTE:
@@ -64,53 +66,76 @@ class Pieces:
                 self.plain.append(p.piece.replace(MARK, " ").encode())
             else:
                 self.plain.append(b"")
-        self.cache: dict[tuple[str, int], tuple[int, ...]] = {}
+        order = {x: n for n, x in enumerate(sorted({-p.score for p in model.pieces if p.type == p.NORMAL}))}
+        self.rank = {p.piece: order[-p.score] for p in model.pieces if p.type == p.NORMAL}  # equal scores, equal ranks
+        self.caches: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]  # what was kept before the caches were full
 
     def chunk(self, text: str, variant: int) -> tuple[int, ...]:
         """Piece ids of one chunk in one of its variants."""
-        ids, score, limit = self.ids, self.score, self.limit
-        n = len(text)
+        key = xxhash.xxh32_intdigest(text.encode(), self.seed * 1_003 + variant) if self.limit else 0
+        parts = self._short(text, key) if len(text) <= _SHORT else self._long(text, key)
+        out, ids = [], self.ids
+        for piece in parts:
+            found = ids.get(piece)
+            if found is None:
+                out += [self.bytes[b] for b in piece.encode()]
+            else:
+                out.append(found)
+        return tuple(out)
+
+    def _short(self, text: str, key: int) -> list[str]:
+        """The agenda as a list, one entry for each pair of neighbours; the best one is searched."""
+        get, limit, parts, starts = self.rank.get, self.limit, list(text), list(range(len(text)))
+        ranks = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == _NONE:
+                break
+            i = ranks.index(r)
+            if limit:
+                h = (key ^ (starts[i] * _A + r * _B)) * _C & _MASK
+                if (h ^ (h >> 15)) * _D & _MASK < limit:
+                    ranks[i] = _NONE
+                    continue
+            parts[i] += parts[i + 1]
+            del parts[i + 1], starts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], _NONE)
+        return parts
+
+    def _long(self, text: str, key: int) -> list[str]:
+        """The same agenda as a heap, for chunks of any length."""
+        get, limit, n = self.rank.get, self.limit, len(text)
         left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))  # symbols by their first character
-        key = xxhash.xxh64_intdigest(text.encode(), self.seed * 1_000_003 + variant) if limit else 0
-        agenda = []
-        for i in range(n - 1):
-            m = ids.get(text[i : i + 2])
-            if m is not None:
-                agenda.append((-score[m], i, i + 2, m))
+        alive, agenda = [True] * n, [(r, i, i + 2) for i in range(n - 1) if (r := get(text[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        alive = [True] * n
         while agenda:
-            _, i, stop, m = heapq.heappop(agenda)
+            r, i, stop = heapq.heappop(agenda)
             j = right[i]
             if not alive[i] or j >= n or end[j] != stop:
                 continue
             if limit:
-                h = ((key ^ (i * 0x9E3779B97F4A7C15 + m * 0xC2B2AE3D27D4EB4F + stop * 0x165667B19E3779F9)) * 0xD6E8FEB86659FD93) & _MASK
-                if ((h ^ (h >> 29)) * 0x9E3779B97F4A7C15 & _MASK) >> 32 < limit:
+                h = (key ^ (i * _A + r * _B)) * _C & _MASK
+                if (h ^ (h >> 15)) * _D & _MASK < limit:
                     continue
             alive[j] = False
             end[i] = stop
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                t = ids.get(text[i : end[k]])
-                if t is not None:
-                    heapq.heappush(agenda, (-score[t], i, end[k], t))
+                if (t := get(text[i : end[k]])) is not None:
+                    heapq.heappush(agenda, (t, i, end[k]))
             k = left[i]
-            if k >= 0:
-                t = ids.get(text[k:stop])
-                if t is not None:
-                    heapq.heappush(agenda, (-score[t], k, stop, t))
+            if k >= 0 and (t := get(text[k:stop])) is not None:
+                heapq.heappush(agenda, (t, k, stop))
         out, i = [], 0
         while i < n:
-            piece = text[i : end[i]]
-            found = ids.get(piece)
-            if found is None:
-                out += [self.bytes[b] for b in piece.encode()]
-            else:
-                out.append(found)
+            out.append(text[i : end[i]])
             i = right[i]
-        return tuple(out)
+        return out
 
     def encode(self, text: str | None, key: int = 0) -> array:
         """Piece ids of a whole text; ``key`` chooses the variants."""
@@ -127,16 +152,17 @@ class Pieces:
         return out
 
     def _add(self, out: array, text: str, key: int) -> None:
-        cache = self.cache
-        if len(cache) > _KEPT:
-            cache.clear()
-        for n, c in enumerate(_CHUNK.findall(text.replace(" ", MARK))):
-            at = (c, (key + n) % VARIANTS)
-            ids = cache.get(at)
+        if sum(map(len, self.caches)) > _KEPT:
+            self.older, self.caches = self.caches, [{} for _ in range(VARIANTS)]
+        caches, older = self.caches, self.older
+        for n, c in enumerate(_CHUNK.findall(text.replace(" ", MARK)), key):
+            v = n % VARIANTS
+            cache = caches[v]
+            ids = cache.get(c)
             if ids is None:
-                ids = self.chunk(*at)
-                if len(c) < 64:
-                    cache[at] = ids
+                ids = older[v].get(c) or self.chunk(c, v)
+                if len(c) <= _SHORT:
+                    cache[c] = ids
             out.extend(ids)
 
     def decode(self, ids) -> str:
