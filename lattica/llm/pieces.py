@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A BPE vocabulary of pieces is read from a SentencePiece model. Blanks become the mark U+2581 and one is put before the
-text, as that model's normaliser does; pieces never cross from a letter to a following mark, so a text is cut there and
-each chunk has an agenda of its own: candidate merges, best score first, leftmost on ties. A candidate that comes up is
-skipped if a hash of the seed, the variant, the chunk, its place and the merged piece falls under the dropout rate; what is
-left when the agenda is empty is the segmentation. All steps are merges of the vocabulary, so every result is made of its
+text, as that model's normaliser does; no piece of the vocabulary holds a mark after another character, or joins letters and
+other characters (but for a few letters that are then no letters here), so a text is cut there and each chunk has an agenda of
+its own: candidate merges, best score first, leftmost on ties. A candidate that comes up is
+skipped if a hash of the seed, the variant, the chunk and the agenda's merges so far, this one included, falls under the dropout
+rate; what is left when the agenda is empty is the segmentation. All steps are merges of the vocabulary, so every result is made of its
 pieces. Characters outside the vocabulary, and a mark that was in the text, become byte pieces: decoding gives back every
 text byte for byte.
 
@@ -39,11 +40,10 @@ RATE = 0.1
 SEED = 17
 VARIANTS = 2
 MARK = "▁"
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _KEPT = 300_000
 _SHORT = 64
 _NONE = 1 << 30
-_MASK, _A, _B, _C, _D = (1 << 32) - 1, 0x2C1B3C6D, 0x297A2D39, 0x9E3779B1, 0x85EBCA77
+_MASK, _STEP = (1 << 32) - 1, 0x2C1B3C6D
 
 
 class Pieces:
@@ -68,6 +68,11 @@ class Pieces:
                 self.plain.append(b"")
         order = {x: n for n, x in enumerate(sorted({-p.score for p in model.pieces if p.type == p.NORMAL}))}
         self.rank = {p.piece: order[-p.score] for p in model.pieces if p.type == p.NORMAL}  # equal scores, equal ranks
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("a piece holds a mark after another character")
+        mixed = {x for p in self.ids for a, b in zip(p, p[1:]) if a != MARK and a.isalnum() != b.isalnum() for x in (a, b) if x.isalnum()}
+        others = rf"\W_{re.escape(''.join(sorted(mixed)))}"
+        self.chunks = re.compile(f"{MARK}*[^{others}]+|{MARK}*(?:(?!{MARK})[{others}])+|{MARK}+").findall
         self.caches: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
         self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]  # what was kept before the caches were full
 
@@ -86,24 +91,23 @@ class Pieces:
 
     def _short(self, text: str, key: int) -> list[str]:
         """The agenda as a list, one entry for each pair of neighbours; the best one is searched."""
-        get, limit, parts, starts = self.rank.get, self.limit, list(text), list(range(len(text)))
+        get, limit, parts = self.rank.get, self.limit, list(text)
         ranks = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             r = min(ranks)
             if r == _NONE:
                 break
             i = ranks.index(r)
-            if limit:
-                h = (key ^ (starts[i] * _A + r * _B)) * _C & _MASK
-                if (h ^ (h >> 15)) * _D & _MASK < limit:
-                    ranks[i] = _NONE
-                    continue
-            parts[i] += parts[i + 1]
-            del parts[i + 1], starts[i + 1], ranks[i]
+            key = (key * _STEP + r) & _MASK
+            if key < limit:
+                ranks[i] = _NONE
+                continue
+            parts[i] = new = parts[i] + parts.pop(i + 1)
+            del ranks[i]
             if i:
-                ranks[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+                ranks[i - 1] = get(parts[i - 1] + new, _NONE)
             if i < len(ranks):
-                ranks[i] = get(parts[i] + parts[i + 1], _NONE)
+                ranks[i] = get(new + parts[i + 1], _NONE)
         return parts
 
     def _long(self, text: str, key: int) -> list[str]:
@@ -117,10 +121,9 @@ class Pieces:
             j = right[i]
             if not alive[i] or j >= n or end[j] != stop:
                 continue
-            if limit:
-                h = (key ^ (i * _A + r * _B)) * _C & _MASK
-                if (h ^ (h >> 15)) * _D & _MASK < limit:
-                    continue
+            key = (key * _STEP + r) & _MASK
+            if key < limit:
+                continue
             alive[j] = False
             end[i] = stop
             k = right[i] = right[j]
@@ -155,7 +158,7 @@ class Pieces:
         if sum(map(len, self.caches)) > _KEPT:
             self.older, self.caches = self.caches, [{} for _ in range(VARIANTS)]
         caches, older = self.caches, self.older
-        for n, c in enumerate(_CHUNK.findall(text.replace(" ", MARK)), key):
+        for n, c in enumerate(self.chunks(text.replace(" ", MARK)), key):
             v = n % VARIANTS
             cache = caches[v]
             ids = cache.get(c)
