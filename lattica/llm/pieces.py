@@ -40,7 +40,7 @@ RATE = 0.1
 SEED = 17
 VARIANTS = 2
 MARK = "▁"
-_KEPT = 300_000
+_KEPT = 500_000
 _SHORT = 64
 _NONE = 1 << 30
 _MASK, _STEP = (1 << 32) - 1, 0x2C1B3C6D
@@ -73,8 +73,8 @@ class Pieces:
         mixed = {x for p in self.ids for a, b in zip(p, p[1:]) if a != MARK and a.isalnum() != b.isalnum() for x in (a, b) if x.isalnum()}
         others = rf"\W_{re.escape(''.join(sorted(mixed)))}"
         self.chunks = re.compile(f"{MARK}*[^{others}]+|{MARK}*(?:(?!{MARK})[{others}])+|{MARK}+").findall
-        self.caches: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]
-        self.older: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIANTS)]  # what was kept before the caches were full
+        self.caches: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]  # what was kept before the caches were full
 
     def chunk(self, text: str, variant: int) -> tuple[int, ...]:
         """Piece ids of one chunk in one of its variants."""
@@ -140,38 +140,37 @@ class Pieces:
             i = right[i]
         return out
 
-    def encode(self, text: str | None, key: int = 0) -> array:
+    def encode(self, text: str | None, key: int = 0) -> np.ndarray:
         """Piece ids of a whole text; ``key`` chooses the variants."""
-        out = array("i")
         if not text:
-            return out
-        if MARK in text:  # a mark of the text's own: bytes, between chunks
-            for n, part in enumerate(text.split(MARK)):
-                if n:
-                    out.extend(self.bytes[b] for b in MARK.encode())
-                self._add(out, (" " if not n else "") + part, key + n)
-            return out
-        self._add(out, " " + text, key)
-        return out
-
-    def _add(self, out: array, text: str, key: int) -> None:
+            return np.zeros(0, np.int32)
+        found = []
+        for n, part in enumerate(text.split(MARK)):  # a mark of the text's own: bytes, between chunks
+            if n:
+                found.append(array("i", (self.bytes[b] for b in MARK.encode())).tobytes())
+            found += self._found((part if n else " " + part).replace(" ", MARK), key + n)
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _found(self, text: str, key: int) -> list[bytes]:
+        """The ids of each chunk, packed; chunk j has variant (key + j) modulo ``VARIANTS``."""
         if sum(map(len, self.caches)) > _KEPT:
             self.older, self.caches = self.caches, [{} for _ in range(VARIANTS)]
-        caches, older = self.caches, self.older
-        for n, c in enumerate(self.chunks(text.replace(" ", MARK)), key):
-            v = n % VARIANTS
-            cache = caches[v]
-            ids = cache.get(c)
-            if ids is None:
-                ids = older[v].get(c) or self.chunk(c, v)
-                if len(c) <= _SHORT:
-                    cache[c] = ids
-            out.extend(ids)
+        chunks = self.chunks(text)
+        found: list = [None] * len(chunks)
+        for v in range(VARIANTS):
+            own = slice((v - key) % VARIANTS, None, VARIANTS)
+            found[own] = map(self.caches[v].get, chunks[own])
+        for j in [j for j, ids in enumerate(found) if ids is None]:
+            c, v = chunks[j], (key + j) % VARIANTS
+            ids = self.caches[v].get(c) or self.older[v].get(c) or array("i", self.chunk(c, v)).tobytes()
+            if len(c) <= _SHORT:
+                self.caches[v][c] = ids
+            found[j] = ids
+        return found
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
-        plain = self.plain
-        return b"".join([plain[i] for i in ids])[1:].decode()
+        return b"".join(map(self.plain.__getitem__, ids))[1:].decode()
 
 
 def _reader(path: str, rate: float, seed: int):
@@ -184,22 +183,27 @@ def _reader(path: str, rate: float, seed: int):
     return kept[at]
 
 
+def _encoded(batch: pa.RecordBatch, reader: Pieces, seed: int, check: bool):
+    """Parts of (key, pieces, n_pieces, n_chars), and with ``check`` whether the pieces decode to the text."""
+    for low in range(0, batch.num_rows, 512):
+        part = batch.slice(low, 512)
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        found = [reader.encode(t, xxhash.xxh32_intdigest(str(k), seed)) for k, t in zip(part.column(0).to_pylist(), texts)]
+        sizes = [len(ids) for ids in found]
+        columns = [part.column(0), list_array(np.concatenate([np.zeros(0, np.int32), *found]), sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array([len(t) for t in texts], pa.int64())]
+        if check:
+            columns.append(pa.array([reader.decode(ids.tolist()) == t for ids, t in zip(found, texts)], pa.bool_()))
+        yield columns
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(key, pieces array<int>, n_pieces, n_chars) of every row of ``docs``."""
 
     def run(batches):
         reader = _reader(path, rate, seed)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                flat, sizes, chars = array("i"), [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = reader.encode(t, xxhash.xxh32_intdigest(str(k), seed))
-                    flat.extend(ids)
-                    sizes.append(len(ids))
-                    chars.append(len(t or ""))
-                values = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
-                yield pa.record_batch([part.column(0), list_array(values, sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array(chars, pa.int64())], names=[key, "pieces", "n_pieces", "n_chars"])
+            for columns in _encoded(batch, reader, seed, False):
+                yield pa.record_batch(columns, names=[key, "pieces", "n_pieces", "n_chars"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<int>, n_pieces int, n_chars long")
@@ -223,17 +227,8 @@ def op6(docs: DataFrame) -> DataFrame:
     def run(batches):
         reader = _reader(MODEL, RATE, SEED)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                flat, sizes, chars, same = array("i"), [], [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = reader.encode(t, xxhash.xxh32_intdigest(str(k), SEED))
-                    same.append(reader.decode(ids) == (t or ""))
-                    flat.extend(ids)
-                    sizes.append(len(ids))
-                    chars.append(len(t or ""))
-                values = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
-                yield pa.record_batch([part.column(0), list_array(values, sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array(chars, pa.int64()), pa.array(same)], names=["doc_id", "pieces", "n_pieces", "n_chars", "lossless"])
+            for columns in _encoded(batch, reader, SEED, True):
+                yield pa.record_batch(columns, names=["doc_id", "pieces", "n_pieces", "n_chars", "lossless"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pieces array<int>, n_pieces int, n_chars long, lossless boolean")
 
