@@ -8,7 +8,8 @@ Profiles are learned from a bounded sample: by hash of the id, ``PER_LANGUAGE``
 where there are fewer), whole texts. All documents are scored over their whole text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts first; if
-nothing can be learned all documents are ``und``; repeated rows are scored each; an empty table gives an empty table;
+nothing can be learned all documents are ``und``; repeated rows are scored each; a null id is
+in no fold and never learned from; an empty table gives an empty table;
 further columns are ignored. Letters are those of Unicode, lower-cased.
 """
 
@@ -59,7 +60,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.nda
     ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     shares = ids.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40).cast("long")) / F.lit(float(1 << 40))
-    texts = docs.join(broadcast_if_small(shares), "lang").where(place < F.col("share")).select("text", "lang")
+    texts = docs.select("doc_id", "text", "lang").join(broadcast_if_small(shares), "lang").where(place < F.col("share")).select("text", "lang")
 
     def run(batches):
         for batch in batches:
@@ -123,4 +124,4 @@ def op9(docs: DataFrame) -> DataFrame:
     """The contract's result: doc_id, held_out, lang_pred, score; the fold crc32 mod 3 = 1 is never learned from."""
     profiles = learn(docs.where(fold(F.col("doc_id"), 3) != 1))
     found = predict(docs.select("text", "doc_id"), profiles)
-    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -15,7 +15,7 @@ a small table of bucket sizes gives the rows before, so that no source, however
 
 Edge cases: a null source is a source of its own; null and empty texts are mixed like others; repeated rows get places
 of their own; sources not named in the targets get what the smallest target has; an empty table gives an empty table;
-further columns are kept.
+further columns are kept (those named like the results are replaced).
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ def _name() -> Column:
 
 def scheduled(docs: DataFrame, targets: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_slot (the slot of the document's block), mix_position (its place in the mix; places may be empty), mix_weight."""
+    docs = docs.drop("mix_slot", "mix_position", "mix_weight")
     slots = broadcast_if_small(written(pattern(quotas(docs, targets, period)), "pattern"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     named = docs.withColumn("__name", _name()).withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, 3))

@@ -1,6 +1,6 @@
 """Personal data replaced by surrogates, in DataFrame and SQL functions only.
 
-Detected entities: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, card, account and social security
+Detected entities: e-mail addresses, telephone numbers, IPv4 and (fully written) IPv6 addresses, card, account and social security
 numbers, IBANs, credentials, and personal names after a title. Each entity gets a surrogate of its own type, drawn from a
 hash under a secret key: separators and lengths stay, digits become digits, letters letters of their case and script, a
 card keeps its network digit and its Luhn remainder, a telephone number its country code, an address its private range, a
@@ -14,7 +14,7 @@ Only texts with an entity are dealt; the table of distinct entities is joined an
 
 Edge cases: null and empty texts stay as they are; very long texts are replaced whole; equal texts are searched once;
 repeated rows and null ids are kept; texts without entities come out byte for byte; an empty table gives an empty table;
-further columns are kept.
+further columns are kept (one named pii_entities is replaced).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d.-])",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}([.-])\d{3}\1\d{4}(?![\d-]|\.\d)",
     "card": r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.?[ \t]+\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
 }
@@ -165,9 +165,9 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     news = parts.select("sha", "pos", fill("mention", "parts").alias("new")).groupBy("sha").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("news"))
     news = written(news, "news")
     between = F.split(F.col(text), PATTERN, -1)
-    whole = F.when(F.col("news").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), F.col("news").alias("n")), lambda x: F.array(x["b"], F.coalesce(x["n"], F.lit(""))))), ""))
-    some = docs.where(maybe).select(*columns, sha.alias("sha")).join(news, "sha", "left")
-    changed = some.select(*(whole.alias(c) if c == text else F.col(c) for c in columns), F.coalesce(F.size("news"), F.lit(0)).alias("pii_entities"))
+    whole = F.when(F.col("__news").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), F.col("__news").alias("n")), lambda x: F.array(x["b"], F.coalesce(x["n"], F.lit(""))))), ""))
+    some = docs.where(maybe).select(*columns, sha.alias("__sha")).join(news.select(F.col("sha").alias("__sha"), F.col("news").alias("__news")), "__sha", "left")
+    changed = some.select(*(whole.alias(c) if c == text else F.col(c) for c in columns), F.coalesce(F.size("__news"), F.lit(0)).alias("pii_entities"))
     return docs.where(~maybe).select(*columns, F.lit(0).alias("pii_entities")).unionByName(changed)
 
 

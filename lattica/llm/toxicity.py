@@ -11,7 +11,7 @@ The models are fitted on a bounded sample of labelled rows, the first by hash of
 class, whole texts, equal texts once, a quarter of them kept for the curve. Everything else covers all documents.
 
 Edge cases: null and wordless texts have ratio 0 and get the curve's value there; very long texts are scored whole;
-repeated label rows count once (toxic if any says so), null labels are ignored; without rows of both classes every score
+a null id is in no fold and has no label; repeated label rows count once (toxic if any says so), null labels are ignored; without rows of both classes every score
 is the share of toxic rows (0 if there is none); an empty table gives an empty table; further columns are ignored.
 """
 
@@ -109,7 +109,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...
 def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS):
     """A :class:`Model`, or the constant score to use where there are not both classes."""
     share = float(labels.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0)
-    texts = docs.join(F.broadcast(sample(labels, per_class)), "doc_id").select("text", "toxic", "curve")  # bounded: ids of the sample
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample(labels, per_class)), "doc_id").select("text", "toxic", "curve")  # bounded: ids of the sample
     ratios = weights(texts.where("not curve"))
     model = Model(ratios)
     held = evidence(texts.where("curve").select("text", "toxic"), model).toPandas()
@@ -156,4 +156,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's result: doc_id, held_out, score, predicted; labels of the fold crc32 mod 4 = 2 are never read."""
     scored = scores(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
-    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
