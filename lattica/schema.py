@@ -10,7 +10,7 @@ VERSION = 8
 
 
 def _struct(spec: str) -> T.StructType:
-    kinds = {"l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.TimestampType()}
+    kinds = {"l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "s": T.StringType(), "t": T.TimestampType(), "b": T.BooleanType()}
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in spec.split())])
 
 
@@ -32,6 +32,10 @@ TABLES: dict[str, T.StructType] = {
     "fanin": _struct("node_id:l n:l"),
     "commit_fts": _struct("sha:s subject:s body:s paths:s"),
     "verified_tasks": _struct("id:l task_id:l description:s files_json:s verified_at:t"),
+    # what was read from each file, kept so that a scan reads only files that changed
+    "extracted": _struct("path:s kind:s name:s type:s owner:s target:s receiver:s signature:s doc:s start_line:i end_line:i confidence:d exported:b"),
+    "framework_rows": _struct("path:s framework:s kind:s method:s name:s handler:s line:i"),
+    "api_calls": _struct("path:s method:s raw:s line:i api:s dynamic:b"),
     "symbol_coverage": _struct("symbol_id:l file:s name:s start_line:i end_line:i covered:i hits:l covered_lines:l total_lines:l updated_at:t"),
 }
 

@@ -16,7 +16,7 @@ def read_files(spark: SparkSession, root: str, ignore: list[str] = (), keep_cont
     top = F.lit(root.rstrip("/").split("://")[-1].split(":")[-1] + "/")
     full = F.regexp_replace(F.col("path"), "^[a-z]+:(//[^/]*)?", "")
     path = F.substring(full, F.instr(full, top) + F.length(top), F.length(full))
-    return indexable(raw.withColumn("path", path), list(ignore)).select("path", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), *([F.decode("content", F.lit("UTF-8")).alias("content")] if keep_content else []))
+    return indexable(raw.withColumn("path", path), list(ignore)).select("path", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), *([F.make_valid_utf8(F.col("content").cast("string")).alias("content")] if keep_content else []))
 
 
 def indexable(listing: DataFrame, ignore: list[str] = (), protected: list[str] | None = None) -> DataFrame:
