@@ -19,7 +19,7 @@ def file_events(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFr
     """A stream of (path, language, hash, size, content) of files that appear or change below ``root``."""
     kind = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(root)
-    return indexable(raw).select("path", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("content"), "modificationTime")
+    return indexable(raw).select("path", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "modificationTime")
 
 
 def refresh(events: DataFrame, apply: Callable[[DataFrame, bool], None], checkpoint: str, every: str | None = "300 milliseconds") -> StreamingQuery:
