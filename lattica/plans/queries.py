@@ -559,22 +559,22 @@ def scc_cycles(d):
 
 @query()
 def cycle_hashes(d):
-    return graph.cycles(d.sparse).select("cycle_hash", "length", F.to_json("nodes").alias("nodes_json"))
+    return graph.cycles(d.inner_edges).select("cycle_hash", "length", F.to_json("nodes").alias("nodes_json"))
 
 
 @query()
 def betweenness(d):
-    return graph.betweenness(d.files.select("id"), d.sparse).select("node_id", F.round("betweenness", 9).alias("betweenness"))
+    return graph.betweenness(d.files.select("id"), d.inner_edges).select("node_id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query()
 def louvain(d):
-    return graph.louvain(d.files.select("id"), d.sparse)
+    return graph.louvain(d.files.select("id"), d.inner_edges)
 
 
 @query()
 def communities(d):
-    return graph.label_propagation(d.files.select("id"), d.sparse, 5)
+    return graph.label_propagation(d.files.select("id"), d.inner_edges, 5)
 
 
 @query(sql("""SELECT node_id, other_id, direction, edge_id FROM (SELECT source_id AS node_id, target_id AS other_id, 'out' AS direction, id AS edge_id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS rn FROM edges WHERE source_id % 50 = 0 AND source_id < 1000000000
