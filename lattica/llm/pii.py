@@ -42,7 +42,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.?[ \t]+\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
 }
 PATTERN = "|".join(PATTERNS.values()).replace(r"([.-])\d{3}\1", r"[.-]\d{3}[.-]")
-MAYBE = rf"[@]|\d{{3}}|\d[.:]\d|[0-9a-f]{{32}}|[=:][ \"']{{0,3}}[A-Za-z0-9+/_-]{{8}}|(?:{_TITLES})\.?[ \t]"
+#: Met by every text in which ``PATTERN`` finds something: a part, without bounds, of each way to match.
+MAYBE = rf"[@]|\d{{3}}|\d\.\d|[0-9A-Fa-f]:[0-9A-Fa-f]|[A-Z]{{2}}\d{{2}}|\+\d|AKIA|gh[pousr]_|sk-|xox[abprs]-|[0-9a-f]{{32}}|[=:]\s{{0,2}}[\"']?[A-Za-z0-9+/_-]{{8}}|(?:{_TITLES})\.?[ \t]"
 
 _GIVEN = {
     "m": "James Robert Michael David Thomas Daniel Paul Andrew Peter Henry Martin Lukas Felix Jonas Karl Pierre Louis Hugo Carlos Diego Pablo Javier Mateo Oscar Victor Leon Simon Walter Edgar Bruno".split(),
