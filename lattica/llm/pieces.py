@@ -196,17 +196,21 @@ def _encoded(batch: pa.RecordBatch, reader: Pieces, seed: int, check: bool):
         yield columns
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
-    """(key, pieces array<int>, n_pieces, n_chars) of every row of ``docs``."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pieces array<int>, n_pieces, n_chars) of every row of ``docs``, and its columns ``keep`` as they are."""
 
     def run(batches):
         reader = _reader(path, rate, seed)
         for batch in batches:
+            low = 0
             for columns in _encoded(batch, reader, seed, False):
-                yield pa.record_batch(columns, names=[key, "pieces", "n_pieces", "n_chars"])
+                kept = [c.slice(low, len(columns[0])) for c in batch.columns[2:]]
+                low += len(columns[0])
+                yield pa.record_batch([*columns, *kept], names=[key, "pieces", "n_pieces", "n_chars", *keep])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<int>, n_pieces int, n_chars long")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(key, text, *keep).mapInArrow(run, f"`{key}` {kind}, pieces array<int>, n_pieces int, n_chars long{more}")
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str = MODEL) -> DataFrame:
