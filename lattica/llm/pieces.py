@@ -3,20 +3,22 @@
 A BPE vocabulary of pieces is read from a SentencePiece model. Blanks become the mark U+2581 and one is put before the
 text, as that model's normaliser does; no piece of the vocabulary holds a mark after another character, or joins letters and
 other characters (but for a few letters that are then no letters here), so a text is cut there and each chunk has an agenda of
-its own: candidate merges, best score first, leftmost on ties. A candidate that comes up is
-skipped if a hash of the seed, the variant, the chunk and the agenda's merges so far, this one included, falls under the dropout
-rate; what is left when the agenda is empty is the segmentation. All steps are merges of the vocabulary, so every result is made of its
-pieces. Characters outside the vocabulary, and a mark that was in the text, become byte pieces: decoding gives back every
-text byte for byte.
-
-A chunk has ``VARIANTS`` segmentations; which one an occurrence gets goes by the document's key and the chunk's place, so
-that a word varies inside a document as well as between documents, always in the same way for one seed. Rate 0 gives the
-model's own segmentation.
+its own: candidate merges, best score first, leftmost on ties. A candidate that comes up is skipped if the keyed hash of
+(seed, document, place of the chunk, span, split, piece) falls under the dropout rate; what is left when the agenda is empty
+is the segmentation. Every candidate of every occurrence has a draw of its own, which depends on no other draw. All steps are
+merges of the vocabulary, so every result is made of its pieces. Characters outside the vocabulary, and a mark that was in
+the text, become byte pieces: decoding gives back every text byte for byte. Rate 0 gives the model's own segmentation.
+
+Which candidates come up if none is skipped depends on the chunk alone. A worker keeps them for the chunks it has met, with
+the segmentation that then follows: the draws of all occurrences of a batch are hashed as one array, and an occurrence
+without a skip is done. The others run their agendas with their draws, many at a time: one column of a matrix each, one
+candidate each in a round. Chunks of more than ``_LONG`` characters run their agenda as a heap. What is kept only saves work:
+at ``_KEPT`` numbers it is thrown away, and the results are those of running each agenda alone.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; a text that is no valid Unicode (lone
 surrogates cannot be in a table) does not occur; very long texts are encoded whole, chunk after chunk; a chunk of any length
 is encoded by the same agenda; repeated rows get equal pieces; a null id is hashed as such; an empty table gives an empty
-table.
+table; clashing names are refused by Spark where ``keep`` names a result.
 """
 
 from __future__ import annotations
@@ -38,12 +40,82 @@ from lattica.llm.common import list_array
 MODEL = os.environ.get("LATTICA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 RATE = 0.1
 SEED = 17
-VARIANTS = 2
 MARK = "▁"
-_KEPT = 500_000
-_SHORT = 64
+_KEPT = 4_000_000
+_LONG = 64
 _NONE = 1 << 30
-_MASK, _STEP = (1 << 32) - 1, 0x2C1B3C6D
+_CHARS = 400_000
+_MASK = (1 << 64) - 1
+_GOLDEN, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(x: int) -> int:
+    """64 well-mixed bits of 64 bits."""
+    x = ((x ^ (x >> 30)) * _FIRST) & _MASK
+    x = ((x ^ (x >> 27)) * _SECOND) & _MASK
+    return x ^ (x >> 31)
+
+
+def mixed_all(x: np.ndarray) -> np.ndarray:
+    """:func:`mixed` of an array."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_FIRST)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_SECOND)
+    return x ^ (x >> np.uint64(31))
+
+
+def candidate(start: int, split: int, stop: int, rank: int) -> int:
+    """The part of a draw's hash that a candidate merge gives: its span inside the chunk, its split and its piece."""
+    return mixed((start * 0xD6E8FEB86659FD93 + split * 0xA0761D6478BD642F + stop * 0xE7037ED1A0B428DB + rank * _GOLDEN) & _MASK)
+
+
+def candidates(start: np.ndarray, split: np.ndarray, stop: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """:func:`candidate` of arrays."""
+    parts = zip((start, split, stop, rank), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, _GOLDEN))
+    return mixed_all(sum(x.astype(np.uint64) * np.uint64(k) for x, k in parts))
+
+
+def skipped(occurrence: int, of: int, limit: int) -> bool:
+    """The draw of one candidate at one occurrence."""
+    return (mixed(occurrence ^ of) >> 32) < limit
+
+
+class Grown:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.values, self.n = np.empty(1 << 12, kind), 0
+
+    def add(self, new) -> None:
+        need = self.n + len(new)
+        if need > len(self.values):
+            self.values = np.concatenate([self.values[: self.n], np.empty(max(need, 2 * self.n) - self.n, self.values.dtype)])
+        self.values[self.n : need] = new
+        self.n = need
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Known:
+    """What the agenda of each chunk does without skips: the hashes of its candidates, and its piece ids."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ids, self.hashes = Grown(np.int32), Grown(np.uint64)
+        self.id_start, self.id_size, self.start, self.size = (Grown(np.int64) for _ in range(4))
+
+    def add(self, chunks: list[str], hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, id_sizes: np.ndarray) -> None:
+        for grown, at, n in ((self.start, self.hashes.n, sizes), (self.id_start, self.ids.n, id_sizes)):
+            grown.add(at + np.cumsum(n) - n)
+        self.size.add(sizes)
+        self.id_size.add(id_sizes)
+        self.hashes.add(hashes)
+        self.ids.add(ids)
+        low = len(self.rows)
+        self.rows.update(zip(chunks, range(low, low + len(chunks))))
 
 
 class Pieces:
@@ -70,59 +142,29 @@ class Pieces:
         self.rank = {p.piece: order[-p.score] for p in model.pieces if p.type == p.NORMAL}  # equal scores, equal ranks
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a mark after another character")
-        mixed = {x for p in self.ids for a, b in zip(p, p[1:]) if a != MARK and a.isalnum() != b.isalnum() for x in (a, b) if x.isalnum()}
-        others = rf"\W_{re.escape(''.join(sorted(mixed)))}"
+        both = {x for p in self.ids for a, b in zip(p, p[1:]) if a != MARK and a.isalnum() != b.isalnum() for x in (a, b) if x.isalnum()}
+        others = rf"\W_{re.escape(''.join(sorted(both)))}"
         self.chunks = re.compile(f"{MARK}*[^{others}]+|{MARK}*(?:(?!{MARK})[{others}])+|{MARK}+").findall
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]  # what was kept before the caches were full
-
-    def chunk(self, text: str, variant: int) -> tuple[int, ...]:
-        """Piece ids of one chunk in one of its variants."""
-        key = xxhash.xxh32_intdigest(text.encode(), self.seed * 1_003 + variant) if self.limit else 0
-        parts = self._short(text, key) if len(text) <= _SHORT else self._long(text, key)
-        out, ids = [], self.ids
-        for piece in parts:
-            found = ids.get(piece)
-            if found is None:
-                out += [self.bytes[b] for b in piece.encode()]
-            else:
-                out.append(found)
-        return tuple(out)
-
-    def _short(self, text: str, key: int) -> list[str]:
-        """The agenda as a list, one entry for each pair of neighbours; the best one is searched."""
-        get, limit, parts = self.rank.get, self.limit, list(text)
-        ranks = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            r = min(ranks)
-            if r == _NONE:
-                break
-            i = ranks.index(r)
-            key = (key * _STEP + r) & _MASK
-            if key < limit:
-                ranks[i] = _NONE
-                continue
-            parts[i] = new = parts[i] + parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = get(parts[i - 1] + new, _NONE)
-            if i < len(ranks):
-                ranks[i] = get(new + parts[i + 1], _NONE)
-        return parts
-
-    def _long(self, text: str, key: int) -> list[str]:
-        """The same agenda as a heap, for chunks of any length."""
-        get, limit, n = self.rank.get, self.limit, len(text)
+        self.mark = [self.bytes[b] for b in MARK.encode()]
+        self.known = Known()
+        symbols = {x: n for n, x in enumerate(dict.fromkeys([*self.ids, *"".join(self.ids)]))}
+        self.symbol = np.full(0x110000, -1, np.int32)  # of a character
+        for x, n in symbols.items():
+            if len(x) == 1:
+                self.symbol[ord(x)] = n
+        self.piece = np.array([self.ids.get(x, -1) for x in symbols], np.int32)
+        pairs = sorted((symbols[p[:k]] << 32 | symbols[p[k:]], self.rank[p], symbols[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
+        self.pair, self.pair_rank, self.pair_symbol = (np.array(x, np.int64) for x in zip(*pairs))
+
+    def agenda(self, text: str, skip) -> list[str]:
+        """The parts that the agenda of ``text`` leaves; ``skip(hash)`` decides on each candidate that comes up."""
+        get, n = self.rank.get, len(text)
         left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))  # symbols by their first character
-        alive, agenda = [True] * n, [(r, i, i + 2) for i in range(n - 1) if (r := get(text[i : i + 2])) is not None]
-        heapq.heapify(agenda)
-        while agenda:
-            r, i, stop = heapq.heappop(agenda)
-            j = right[i]
-            if not alive[i] or j >= n or end[j] != stop:
-                continue
-            key = (key * _STEP + r) & _MASK
-            if key < limit:
+        alive, waiting = [True] * n, [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := get(text[i : i + 2])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            r, i, j, stop = heapq.heappop(waiting)
+            if not alive[i] or right[i] != j or j >= n or end[j] != stop or skip(candidate(i, j, stop, r)):
                 continue
             alive[j] = False
             end[i] = stop
@@ -130,49 +172,196 @@ class Pieces:
             if k < n:
                 left[k] = i
                 if (t := get(text[i : end[k]])) is not None:
-                    heapq.heappush(agenda, (t, i, end[k]))
+                    heapq.heappush(waiting, (t, i, k, end[k]))
             k = left[i]
             if k >= 0 and (t := get(text[k:stop])) is not None:
-                heapq.heappush(agenda, (t, k, stop))
+                heapq.heappush(waiting, (t, k, i, stop))
         out, i = [], 0
         while i < n:
             out.append(text[i : end[i]])
             i = right[i]
         return out
 
+    def named(self, parts: list[str]) -> array:
+        """Piece ids of the parts of a chunk; what is no piece becomes bytes."""
+        out, ids = array("i"), self.ids
+        for piece in parts:
+            found = ids.get(piece)
+            if found is None:
+                out.extend(self.bytes[b] for b in piece.encode())
+            else:
+                out.append(found)
+        return out
+
+    def alone(self, chunk: str, occurrence: int) -> array:
+        """Piece ids of one chunk at one occurrence, by its own agenda."""
+        return self.named(self.agenda(chunk, lambda h: skipped(occurrence, h, self.limit)))
+
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of merging ``a`` and ``b``; rank ``_NONE`` where no piece comes of it."""
+        wanted = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
+        met = (self.pair[at] == wanted) & (a >= 0) & (b >= 0)
+        return np.where(met, self.pair_rank[at], _NONE), self.pair_symbol[at]
+
+    def side_by_side(self, chunks: list[str], keys: np.ndarray | None):
+        """The agendas of chunks of at most ``_LONG`` characters, all at once: (piece ids, number of each, and without
+        ``keys`` the hashes of the candidates that came up, number of each). With ``keys`` candidates are skipped by draw."""
+        n, size = len(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        wide = max(int(size.max(initial=1)), 2)
+        points = np.array(chunks, f"<U{wide}").view(np.uint32).reshape(n, wide).T
+        place = np.arange(wide)[:, None]
+        inside = place < size
+        symbols = np.where(inside, self.symbol[points], -1)
+        alive = inside.copy()
+        right = np.where(inside, place + 1, wide)
+        left = np.broadcast_to(place - 1, (wide, n)).copy()
+        rank, to = self._merges(symbols[:-1].ravel(), symbols[1:].ravel())
+        best = np.where(rank < _NONE, rank << 6 | np.repeat(place[:-1], n), _NONE << 6).reshape(wide - 1, n)
+        into = to.reshape(wide - 1, n)
+        rows = np.arange(n)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            first = best.min(axis=0, initial=_NONE << 6)
+            going = np.flatnonzero(first < _NONE << 6)
+            if not len(going):
+                break
+            if len(going) < 0.7 * len(rows):
+                best, into, rows, first = best[:, going], into[:, going], rows[going], first[going]
+                going = np.arange(len(rows))
+            first, row = first[going], rows[going]
+            i, r = first & 63, first >> 6
+            j = right[i, row]
+            k = right[j, row]
+            stop = np.where(k < wide, k, size[row])
+            h = candidates(i, j, np.minimum(stop, size[row]), r)
+            if keys is None:
+                met.append((row, h))
+            else:
+                kept = mixed_all(keys[row] ^ h) >> np.uint64(32) >= np.uint64(self.limit)
+                best[i[~kept], going[~kept]] = _NONE << 6
+                going, row, i, j, k = going[kept], row[kept], i[kept], j[kept], k[kept]
+            new = into[i, going]
+            symbols[i, row] = new
+            alive[j, row] = False
+            right[i, row] = k
+            best[np.minimum(j, wide - 2), going] = np.where(j <= wide - 2, _NONE << 6, best[np.minimum(j, wide - 2), going])
+            best[i, going] = _NONE << 6
+            more = np.flatnonzero(k < size[row])
+            left[k[more], row[more]] = i[more]
+            rank, to = self._merges(new[more], symbols[k[more], row[more]])
+            best[i[more], going[more]] = np.where(rank < _NONE, rank << 6 | i[more], _NONE << 6)
+            into[i[more], going[more]] = to
+            before = left[i, row]
+            more = np.flatnonzero(before >= 0)
+            before = before[more]
+            rank, to = self._merges(symbols[before, row[more]], new[more])
+            best[before, going[more]] = np.where(rank < _NONE, rank << 6 | before, _NONE << 6)
+            into[before, going[more]] = to
+        left_over, sizes = symbols.T[alive.T], alive.sum(axis=0)
+        ids = np.where(left_over >= 0, self.piece[left_over], -1)
+        if (ids < 0).any():  # what is no piece becomes bytes
+            ids, sizes = self._bytes(ids, points.T[alive.T], sizes)
+        if keys is not None:
+            return ids, sizes
+        row = np.concatenate([x for x, _ in met] or [np.empty(0, np.int64)])
+        hashes = np.concatenate([x for _, x in met] or [np.empty(0, np.uint64)])
+        return ids, sizes, hashes[np.argsort(row, kind="stable")], np.bincount(row, minlength=n)
+
+    def _bytes(self, ids: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` with the byte pieces of the character at each place that has none."""
+        out = [[i] if i >= 0 else [self.bytes[b] for b in chr(c).encode()] for i, c in zip(ids.tolist(), points.tolist())]
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return np.array([x for part in out for x in part], np.int32), np.diff(ends[bounds])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Keep what the agendas of new ``chunks`` do without skips."""
+        none = np.empty(0, np.uint64)
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, _LONG)):
+            some = [c for c in chunks if low < len(c) <= high]
+            if some:
+                ids, sizes, hashes, counts = self.side_by_side(some, None)
+                self.known.add(some, hashes if self.limit else none, counts if self.limit else counts * 0, ids, sizes)
+        for c in chunks:
+            if len(c) > _LONG:
+                met: list[int] = []
+                ids = self.named(self.agenda(c, lambda h: bool(met.append(h))))
+                hashes = np.array(met if self.limit else [], np.uint64)
+                self.known.add([c], hashes, np.array([len(hashes)]), np.frombuffer(ids, np.int32), np.array([len(ids)]))
+
+    def occurrences(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of all ``chunks``, number of each): ``keys`` are the hashes of the occurrences."""
+        if self.known.hashes.n + self.known.ids.n > _KEPT:
+            self.known = Known()
+        known, get = self.known, self.known.rows.get
+        rows = np.array([get(c, -1) for c in chunks], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys(chunks[j] for j in new.tolist())))
+            rows[new] = [known.rows[chunks[j]] for j in new.tolist()]
+        starts, sizes = known.id_start.values[rows], known.id_size.values[rows]
+        if not self.limit:
+            return known.ids.values[ragged(starts, sizes)], sizes
+        drawn = known.size.values[rows]
+        position = ragged(known.start.values[rows], drawn)
+        hit = np.flatnonzero(mixed_all(np.repeat(keys, drawn) ^ known.hashes.values[position]) >> np.uint64(32) < np.uint64(self.limit))
+        owner = np.searchsorted(np.cumsum(drawn), hit, side="right")
+        owner = owner[np.flatnonzero(np.diff(owner, prepend=-1))]
+        length = np.array([len(chunks[j]) for j in owner.tolist()], np.int64)
+        values, at = [known.ids.values[: known.ids.n]], known.ids.n
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, _LONG)):
+            some = owner[(length > low) & (length <= high)]
+            if len(some):
+                ids, n = self.side_by_side([chunks[j] for j in some.tolist()], keys[some])
+                starts[some], sizes[some] = at + np.cumsum(n) - n, n
+                values.append(ids)
+                at += len(ids)
+        for j in owner[length > _LONG].tolist():
+            values.append(np.frombuffer(self.alone(chunks[j], int(keys[j])), np.int32))
+            starts[j], sizes[j] = at, len(values[-1])
+            at += len(values[-1])
+        return np.concatenate(values)[ragged(starts, sizes)], sizes
+
+    def encode_all(self, texts: list[str | None], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of all texts, number of each); ``keys`` are 64 bits of each document."""
+        chunks: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        marks: list[tuple[int, int]] = []  # a mark of the text's own comes before this chunk: bytes
+        for row, text in enumerate(texts):
+            low = len(chunks)
+            if text:
+                for n, part in enumerate(text.split(MARK)):
+                    if n:
+                        marks.append((row, len(chunks)))
+                    chunks += self.chunks((part if n else " " + part).replace(" ", MARK))
+            counts[row] = len(chunks) - low
+        row = np.repeat(np.arange(len(texts)), counts)
+        place = ragged(np.zeros(len(texts), np.int64), counts).astype(np.uint64) + np.uint64(1)
+        ids, sizes = self.occurrences(chunks, mixed_all(np.array(keys, np.uint64)[row] + place * np.uint64(_GOLDEN)))
+        totals = np.zeros(len(texts), np.int64)
+        np.add.at(totals, row, sizes)
+        if marks:
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.insert(ids, np.repeat([before[c] for _, c in marks], len(self.mark)), np.tile(self.mark, len(marks)))
+            np.add.at(totals, [r for r, _ in marks], len(self.mark))
+        return ids.astype(np.int32), totals
+
     def encode(self, text: str | None, key: int = 0) -> np.ndarray:
-        """Piece ids of a whole text; ``key`` chooses the variants."""
-        if not text:
-            return np.zeros(0, np.int32)
-        found = []
-        for n, part in enumerate(text.split(MARK)):  # a mark of the text's own: bytes, between chunks
-            if n:
-                found.append(array("i", (self.bytes[b] for b in MARK.encode())).tobytes())
-            found += self._found((part if n else " " + part).replace(" ", MARK), key + n)
-        return np.frombuffer(b"".join(found), np.int32)
-
-    def _found(self, text: str, key: int) -> list[bytes]:
-        """The ids of each chunk, packed; chunk j has variant (key + j) modulo ``VARIANTS``."""
-        if sum(map(len, self.caches)) > _KEPT:
-            self.older, self.caches = self.caches, [{} for _ in range(VARIANTS)]
-        chunks = self.chunks(text)
-        found: list = [None] * len(chunks)
-        for v in range(VARIANTS):
-            own = slice((v - key) % VARIANTS, None, VARIANTS)
-            found[own] = map(self.caches[v].get, chunks[own])
-        for j in [j for j, ids in enumerate(found) if ids is None]:
-            c, v = chunks[j], (key + j) % VARIANTS
-            ids = self.caches[v].get(c) or self.older[v].get(c) or array("i", self.chunk(c, v)).tobytes()
-            if len(c) <= _SHORT:
-                self.caches[v][c] = ids
-            found[j] = ids
-        return found
+        """Piece ids of a whole text; ``key`` is the document's."""
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids) -> str:
         """The text of piece ids."""
         return b"".join(map(self.plain.__getitem__, ids))[1:].decode()
 
 
+def document_key(key, seed: int = SEED) -> int:
+    """64 bits of the seed and a document's key."""
+    return xxhash.xxh64_intdigest(str(key), seed)
+
+
 def _reader(path: str, rate: float, seed: int):
     """The worker's own Pieces, made once."""
     kept: dict = globals().setdefault("_made", {})
@@ -185,15 +374,22 @@ def _reader(path: str, rate: float, seed: int):
 
 def _encoded(batch: pa.RecordBatch, reader: Pieces, seed: int, check: bool):
     """Parts of (key, pieces, n_pieces, n_chars), and with ``check`` whether the pieces decode to the text."""
-    for low in range(0, batch.num_rows, 512):
-        part = batch.slice(low, 512)
-        texts = [t or "" for t in part.column(1).to_pylist()]
-        found = [reader.encode(t, xxhash.xxh32_intdigest(str(k), seed)) for k, t in zip(part.column(0).to_pylist(), texts)]
-        sizes = [len(ids) for ids in found]
-        columns = [part.column(0), list_array(np.concatenate([np.zeros(0, np.int32), *found]), sizes, pa.int32()), pa.array(sizes, pa.int32()), pa.array([len(t) for t in texts], pa.int64())]
+    every = [t or "" for t in batch.column(1).to_pylist()]
+    low = 0
+    while low < len(every):
+        high, chars = low, 0
+        while high < len(every) and (high == low or chars + len(every[high]) <= _CHARS):
+            chars += len(every[high])
+            high += 1
+        texts, keys = every[low:high], batch.column(0).slice(low, high - low)
+        ids, sizes = reader.encode_all(texts, [document_key(k, seed) for k in keys.to_pylist()])
+        columns = [keys, list_array(ids, sizes, pa.int32()), pa.array(sizes.astype(np.int32)), pa.array([len(t) for t in texts], pa.int64())]
         if check:
-            columns.append(pa.array([reader.decode(ids.tolist()) == t for ids, t in zip(found, texts)], pa.bool_()))
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            flat = ids.tolist()
+            columns.append(pa.array([reader.decode(flat[a:b]) == t for a, b, t in zip(bounds, bounds[1:], texts)], pa.bool_()))
         yield columns
+        low = high
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, rate: float = RATE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:

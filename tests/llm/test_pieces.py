@@ -1,7 +1,7 @@
 import os
 
+import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,42 +36,68 @@ def test_lossless(text, key):
     assert reader.decode(reader.encode(text, key).tolist()) == text
 
 
-def test_list_and_heap_are_the_same_agenda(own):
-    for n in range(300):
-        chunk = "▁" + "internationalisation"[: n % 20] + str(n)
-        key = xxhash.xxh32_intdigest(chunk.encode(), n)
-        assert own._short(chunk, key) == own._long(chunk, key)
+WORDS = ["▁tokenization", "▁Straßenbahn", "▁aaaaaaaaaa", "▁l'éléphant", "▁международный", "▁漢字かな", "▁\U0001f600x", "a" * 64, "a" * 65, "▁" + "internationalisation" * 5, "x\0y\0"]
 
 
-def slow(own, chunk, key):
+def slow(own, chunk, occurrence):
     """The agenda by the definition: of all neighbours the best that was not skipped, leftmost on ties."""
     parts, skipped = list(chunk), set()
     while True:
-        open_ = [(own.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in own.rank and (len("".join(parts[:i])), a, b) not in skipped]
+        starts = [len("".join(parts[:i])) for i in range(len(parts) + 1)]
+        open_ = [(own.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in own.rank and starts[i : i + 3] not in skipped_lists(skipped)]
         if not open_:
             return parts
         r, i = min(open_)
-        key = (key * pieces._STEP + r) & pieces._MASK
-        if key < own.limit:
-            skipped.add((len("".join(parts[:i])), parts[i], parts[i + 1]))
+        if pieces.skipped(occurrence, pieces.candidate(*starts[i : i + 3], r), own.limit):
+            skipped.add(tuple(starts[i : i + 3]))
         else:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+def skipped_lists(skipped):
+    return [list(x) for x in skipped]
+
+
 def test_agenda_by_the_definition(own):
-    for n, word in enumerate(["▁tokenization", "▁Straßenbahn", "▁aaaaaaaaaa", "▁l'éléphant", "▁международный"] * 20):
-        key = xxhash.xxh32_intdigest(word.encode(), n)
-        assert own._short(word, key) == slow(own, word, key)
+    for n, word in enumerate(WORDS * 20):
+        key = pieces.document_key(n)
+        assert own.alone(word, key) == own.named(slow(own, word, key))
+
+
+def test_all_at_once_as_each_alone(own):
+    chunks = [w for n in range(40) for w in (*WORDS, f"▁word{n}", f"▁{'inter' * (n % 9)}nation")]
+    keys = np.array([pieces.document_key(n) for n in range(len(chunks))], np.uint64)
+    for _ in range(2):  # with nothing known, and with what is known
+        ids, sizes = own.occurrences(chunks, keys)
+        assert ids.tolist() == [i for c, k in zip(chunks, keys.tolist()) for i in own.alone(c, k)]
+        assert sizes.tolist() == [len(own.alone(c, k)) for c, k in zip(chunks, keys.tolist())]
+
+
+def test_the_place_and_the_document_count(own):
+    """Every occurrence has its own draws: the key is hashed from the document's and the place of the chunk."""
+    ids, sizes = own.encode_all(["counterposition " * 300, "counterposition " * 300], [1, 2])
+    texts = [ids[: sizes[0]].tolist(), ids[sizes[0] :].tolist()]
+    assert texts[0] != texts[1]
+    keys = pieces.mixed_all(np.array([1], np.uint64) + np.arange(1, 301, dtype=np.uint64) * np.uint64(pieces._GOLDEN))
+    assert texts[0][: sum(len(own.alone("▁counterposition", k)) for k in keys.tolist())] == [i for k in keys.tolist() for i in own.alone("▁counterposition", k)]
+    assert len({tuple(own.alone("▁counterposition", k)) for k in keys.tolist()}) > 5
 
 
-def test_rate_and_variety(own):
-    words = [f"▁{a}{b}" for a in ("inter", "over", "under", "counter", "trans", "super") for b in ("national", "standing", "action", "position", "formation")]
+def test_rate_and_seed(own):
+    text = " ".join(f"{a}{b}" for a in ("inter", "over", "under", "counter", "trans", "super") for b in ("national", "standing", "action", "position", "formation"))
     plain = pieces.Pieces(rate=0)
-    assert any(own.chunk(w, 0) != own.chunk(w, 1) for w in words)
-    assert sum(len(own.chunk(w, 0)) for w in words) > sum(len(plain.chunk(w, 0)) for w in words)
-    other = pieces.Pieces(seed=18)
-    assert any(own.chunk(w, 0) != other.chunk(w, 0) for w in words)
-    assert [own.chunk(w, 0) for w in words] == [pieces.Pieces().chunk(w, 0) for w in words]
+    assert len(own.encode(text, 1)) > len(plain.encode(text, 1))
+    assert own.encode(text, 1).tolist() == pieces.Pieces().encode(text, 1).tolist()
+    assert len(pieces.Pieces(rate=1.0).encode(text, 1)) == sum(len(own.named(list(c))) for c in own.chunks((" " + text).replace(" ", "▁")))
+    keys = [pieces.document_key(7, seed) for seed in (17, 18)]
+    assert keys[0] != keys[1] and own.encode(text, keys[0]).tolist() != own.encode(text, keys[1]).tolist()
+
+
+def test_share_of_skips(own):
+    occurrences = np.array([pieces.document_key(n) for n in range(20_000)], np.uint64)
+    drawn = pieces.mixed_all(occurrences ^ np.uint64(pieces.candidate(0, 1, 2, 5))) >> np.uint64(32) < np.uint64(own.limit)
+    assert abs(drawn.mean() - pieces.RATE) < 0.01
+    assert drawn[:50].tolist() == [pieces.skipped(k, pieces.candidate(0, 1, 2, 5), own.limit) for k in occurrences[:50].tolist()]
 
 
 def test_tables(make, odd):
