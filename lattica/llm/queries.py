@@ -35,7 +35,7 @@ def op8_pfair(spark, sf_dir):
 
 
 def op7_surrogates(spark, sf_dir):
-    return pii.op7(table(spark, sf_dir, "documents"))
+    return pii.op7(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op6_pieces(spark, sf_dir):

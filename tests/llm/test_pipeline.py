@@ -14,7 +14,7 @@ def test_stages_and_rows(spark, sf):
     ids = {r.doc_id for r in groups.collect()}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == ids and len(rows) == len(ids)
-    texts = {r.doc_id: r.text for r in pii.replaced(docs.join(groups, "doc_id", "left_semi")).collect()}
+    texts = {r.doc_id: r.text for r in pii.replaced(docs.join(groups, "doc_id", "left_semi"), pii.key_of(spark)).collect()}
     reader = pieces.Pieces()
     assert all(reader.decode(r.pieces) == (texts[r.doc_id] or "") for r in rows)
 
