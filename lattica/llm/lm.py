@@ -1,261 +1,370 @@
-"""Language-model scores by deleted interpolation.
+"""Language-model scores by deleted interpolation of word trigrams, bigrams and unigrams.
 
-The model mixes three maximum-likelihood estimates of the next token: from the class of the token before it, from its own
+The model mixes maximum-likelihood estimates of the next token from the two tokens before it, the one before it, its own
 frequency, and a uniform one over the vocabulary and one unseen word:
 
-    P(w | h) = a_b * c(H, W) / c(H) * c(w) / c(W)  +  b_b * c(w) / N  +  u_b / (V + 1)
+    P(w | g h) = a * c(g h w) / c(g h)  +  b * c(h w) / c(h)  +  d * c(w) / N  +  u / (V + 1)
 
-H and W are the classes of h and w. Each of the ``CLASSES`` most frequent tokens is a class of its own; every other word
-belongs to one of 64 classes by its shape, so all bigrams of the corpus are counted, in a table of a size that no corpus
-exceeds. The weights (a, b, u) depend on the bucket b of the context's frequency and are learned by expectation-
-maximisation: counts of one part of the training documents are interpolated to explain another part, then both parts are
-counted together.
+The weights (a, b, d, u) depend on the frequency of the longest context that was seen, in buckets of doublings, and are
+learned by expectation-maximisation: counts of one part of the training documents are interpolated to explain another part
+(that held-out part is a seventh of the ids), then both parts are counted together. A text begins after two ends.
 
-Token counts cover the whole training corpus and are never collected: the ``FREQUENT`` most frequent are sent to the
-executors (a fixed number), the others meet their occurrences in a join.
+Counts cover all n-grams of all training documents and are never collected. An n-gram is known by a hash of 20 bits more than
+the number of n-grams has, so that less than one n-gram in a million shares its key. The corpus is cut into chunks of
+``CHUNK`` bytes. Each chunk sends its distinct keys, sorted and as differences, with its own counts to the buckets of the key
+space; a bucket adds the counts of all chunks up and sends each chunk the totals of its keys, in the order in which the chunk
+asked. The chunk then meets its totals and is scored. So every shuffled row holds many n-grams, a frequent n-gram is one
+entry per chunk, and a task holds a bucket or a chunk, whatever the size of the corpus. For the weights the same is done with the
+held-out chunks alone: their tokens are counted by (context bucket, binned probabilities), a table whose size no corpus
+exceeds, and that table alone goes to the driver.
 
 Edge cases: null and wordless texts have one token, the end; with nothing to learn from, N = V = 0, every probability is
-1 (both scores are 0); very long texts are scored whole; repeated rows are scored each, and count each in training; a
-null id belongs to no fold, and its text is learned from; an empty table gives an empty table; further columns are
-ignored.
+1 (both scores are 0); very long texts are scored whole (a chunk holds at least one text); repeated rows are scored each, and
+count each in training; a null id belongs to no fold, and its text is learned from; an empty table gives an empty table;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattica.llm.common import fold, written
 
-CLASSES = 1023
-SHAPES = 64
-SIDE = CLASSES + SHAPES
-FREQUENT = 150_000
+ORDER = 3
+CHUNK = 12 << 20
+BUCKET = 400_000
 BUCKETS = 24
-END = " "  # no word holds a blank
-_FLUSH = 250_000
+BINS = 4  # to a power of ten
+END = b" "  # no word holds a blank
 _FOLD, _OUT, _HELD = 7, 2, 5
+_MAIN_ROW, _HELD_ROW, _OUT_ROW = 0, 1, 2
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words in bytes with A-Z lower-cased, cut at ASCII white space, and one end."""
     out = (text or "").encode().lower().split()
-    out.append(END.encode())
+    out.append(END)
     return out
 
 
-def shape(word: bytes) -> int:
-    """The shape class of an infrequent word: length, kind of its last byte, whether it has other than ASCII bytes, digits."""
-    n, last = len(word), word[-1]
-    size = 0 if n <= 4 else 1 if n <= 7 else 2 if n <= 11 else 3
-    end = 0 if 97 <= last <= 122 else 1 if last >= 128 else 2 if last in b".!?" else 3
-    return CLASSES + (size * 4 + end) * 4 + (0 if word.isascii() else 2) + (word[0] < 97)
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, main, held): counts in the training documents outside and inside the held-out part."""
-
-    def run(batches):
-        found = (Counter(), Counter())
-
-        def pack():
-            rows = [pa.array([*found[0], *found[1]], pa.binary()), pa.array([*found[0].values(), *[0] * len(found[1])], pa.int64()), pa.array([*[0] * len(found[0]), *found[1].values()], pa.int64())]
-            found[0].clear(), found[1].clear()
-            return pa.record_batch(rows, names=["token", "main", "held"])
-
+class Ids(dict):
+    """A new number for each token that is not there."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Chunk:
+    """Texts of one chunk as arrays: for each order the sorted distinct keys, and the place of each token's n-gram among them."""
+
+    def __init__(self, texts: list[str | None], width: int):
+        ids = Ids()
+        get = ids.__getitem__
+        parts = [np.fromiter(map(get, found := tokens(t)), np.int32, len(found)) for t in texts]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        at = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        names = np.array([xxhash.xxh64_intdigest(w) for w in ids], np.uint64)
+        end = np.uint64(xxhash.xxh64_intdigest(END))
+        word = names[at] if len(at) else np.empty(0, np.uint64)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.first = first
+        shift = np.uint64(64 - width)
+        hashes, blank = [word], np.array([end])
+        for _ in range(1, ORDER):  # an n-gram is the one of order n - 1 that ends before its last word, and that word
+            before = np.empty_like(word)
+            before[1:] = hashes[-1][:-1]
+            before[first] = blank
+            hashes.append(_mixed(before * np.uint64(3) + word))
+            blank = _mixed(blank * np.uint64(3) + end)
+        self.keys, self.places, self.order = [], [], []
+        for n, h in enumerate(hashes):
+            key = _mixed(h + np.uint64(n)) >> shift
+            turn = np.argsort(key)
+            ordered = key[turn]
+            new = np.ones(len(key), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            place = np.empty(len(key), np.int64)
+            place[turn] = np.cumsum(new) - 1
+            self.keys.append(ordered[new])
+            self.places.append(place)
+
+    def counted(self, learned: np.ndarray) -> list[np.ndarray]:
+        """The counts of the keys of each order; ``learned`` says of each text whether it counts."""
+        weight = np.repeat(learned, self.sizes)
+        return [np.bincount(p[weight], minlength=len(k)) for k, p in zip(self.keys, self.places)]
+
+    def known(self, totals: list[np.ndarray], ends: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(count of each token's n-gram, count of its context), by order from 1; ``ends`` is the count of the end."""
+        counts = [t[p] for t, p in zip(totals, self.places)]
+        contexts = [None]
+        for c in counts[:-1]:
+            context = np.empty_like(c)
+            context[1:] = c[:-1]
+            context[self.first] = ends
+            contexts.append(context)
+        return counts, contexts
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers in the narrowest width that holds them, and the width."""
+    most = int(values.max(initial=0))
+    kind = next(k for k in "1248" if most < 1 << 8 * int(k))
+    return kind.encode() + values.astype(f"<u{kind}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{chr(data[0])}", offset=1)
+
+
+def edges(width: int, buckets: int) -> np.ndarray:
+    """The first key of each bucket but the first."""
+    return np.array([-(-(b << width) // buckets) for b in range(1, buckets)], np.uint64)
+
+
+def _chunked(docs: DataFrame, key: str, role) -> tuple[DataFrame, int]:
+    """((chunk, key, role, text), bytes of all texts): odd chunks are the held-out part of the training documents.
+
+    Rows are dealt by a hash of key and text, so that a chunk is the same set of rows whenever it is worked out."""
+    plain = docs.select(F.col(key).alias("key"), role.cast("byte").alias("role"), "text")
+    size = plain.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    chunks = max(-(-size // CHUNK), min(64, -(-size // (1 << 16))), 1)
+    held = F.col("role") == _HELD_ROW
+    number = F.pmod(F.xxhash64("key", "text"), F.when(held, -(-chunks // _FOLD)).otherwise(chunks)).cast("long")
+    return plain.select((number * 2 + held.cast("long")).alias("chunk"), "key", "role", "text"), size
+
+
+def _chunks(batches, take):
+    """``take(chunk, rows)`` for each run of rows of one chunk; rows are lists of the batch's columns from the second."""
+    def rows():
         for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[held].update(tokens(text))
-                if len(found[0]) + len(found[1]) > _FLUSH:
-                    yield pack()
-        yield pack()
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    for chunk, group in groupby(rows(), key=lambda r: r[0]):
+        yield from take(chunk, group)
+
+
+def _asked(chunked: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(bucket, turn, chunk, data): the sorted keys of each chunk and order that fall in a bucket, and their counts."""
+    cuts = edges(width, buckets)
+
+    def ask(chunk, rows):
+        texts, roles = [], []
+        for _, role, text in rows:
+            texts.append(text)
+            roles.append(role)
+        made = Chunk(texts, width)
+        for n, (keys, counts) in enumerate(zip(made.keys, made.counted(np.array(roles) != _OUT_ROW))):
+            bounds = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            for b in range(buckets):
+                low, high = bounds[b], bounds[b + 1]
+                if low < high:
+                    steps = _packed(np.diff(keys[low:high], prepend=cuts[b - 1] if b else np.uint64(0)))
+                    yield b, n, chunk, len(steps).to_bytes(8, "little") + steps + _packed(counts[low:high])
 
-    made = docs.select("text", "held").mapInArrow(run, "token binary, main long, held long")
-    return made.groupBy("token").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
+    def run(batches):
+        out: list[tuple] = []
+        size = 0
+        for row in _chunks(batches, ask):
+            out.append(row)
+            size += len(row[3])
+            if size > 1 << 24:
+                yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
+
+    def _batch(out):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int8(), pa.int64(), pa.binary()))], names=["bucket", "turn", "chunk", "data"])
+
+    return chunked.select("chunk", "role", "text").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "bucket int, turn byte, chunk long, data binary")
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """(chunk, turn, bucket, data) for each row of ``asked``: the totals of its keys, of the main and of the held-out part.
+
+    Rows of chunk -1 have the sums of a bucket's unigrams: main tokens, held-out tokens, types, types of the main part."""
+
+    def answer(bucket, turn, rows):
+        keys, counts, chunks = [], [], []
+        for chunk, data in rows:
+            size = int.from_bytes(data[:8], "little")
+            keys.append(np.cumsum(_unpacked(data[8 : 8 + size]).astype(np.uint64), dtype=np.uint64))
+            counts.append(_unpacked(data[8 + size :]).astype(np.int64))
+            chunks.append(chunk)
+        every = np.unique(np.concatenate(keys))
+        totals = np.zeros((2, len(every)), np.int64)
+        places = [np.searchsorted(every, k) for k in keys]
+        for chunk, place, count in zip(chunks, places, counts):
+            totals[chunk & 1, place] += count
+        for chunk, place in zip(chunks, places):
+            main = _packed(totals[0, place])
+            yield chunk, turn, bucket, zstandard.compress(len(main).to_bytes(8, "little") + main + _packed(totals[1, place]), 1)
+        if turn == 0:
+            sums = [*totals.sum(axis=1).tolist(), int((totals.sum(axis=0) > 0).sum()), int((totals[0] > 0).sum())]
+            yield -1, turn, bucket, ",".join(map(str, sums)).encode()
 
+    def run(batches):
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        for (bucket, turn), group in groupby(rows(), key=lambda r: r[:2]):
+            out = list(answer(bucket, turn, ((r[2], r[3]) for r in group)))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int8(), pa.int32(), pa.binary()))], names=["chunk", "turn", "bucket", "data"])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "turn").mapInArrow(run, "chunk long, turn byte, bucket int, data binary")
+
+
+def _met(chunked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chunks and their answers side by side: first the answers in the order of their keys, then the texts."""
+    key = chunked.schema["key"].dataType.simpleString()
+    none = {"bucket": "int", "data": "binary", "key": key, "role": "byte", "text": "string"}
+    texts = chunked.select("chunk", F.lit(ORDER).cast("byte").alias("turn"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "key", "role", "text")
+    totals = answers.select("chunk", "turn", "bucket", "data", *(F.lit(None).cast(none[c]).alias(c) for c in ("key", "role", "text")))
+    return totals.union(texts).repartition("chunk").sortWithinPartitions("chunk", "turn", "bucket")
+
+
+def _read(rows, width: int):
+    """(texts' keys, Chunk, main totals by order, held-out totals by order) of the rows of one chunk."""
+    main, held = [[] for _ in range(ORDER)], [[] for _ in range(ORDER)]
+    keys, texts = [], []
+    for _, turn, _, data, key, _, text in rows:
+        if turn < ORDER:
+            data = zstandard.decompress(data)
+            size = int.from_bytes(data[:8], "little")
+            main[turn].append(_unpacked(data[8 : 8 + size]).astype(np.int64))
+            held[turn].append(_unpacked(data[8 + size :]).astype(np.int64))
+        else:
+            keys.append(key)
+            texts.append(text)
+    return keys, Chunk(texts, width), [np.concatenate(x) for x in main], [np.concatenate(x) for x in held]
+
+
+def bucket_of(contexts: list) -> np.ndarray:
+    """The weights that each token uses: by the longest context seen, and how often it was (doublings); 0: none was seen."""
+    out = np.zeros(len(contexts[1]), np.int64)
+    for n in range(1, ORDER):
+        seen = contexts[n] > 0
+        out[seen] = (n - 1) * BUCKETS + 1 + np.minimum(np.log2(contexts[n][seen]).astype(np.int64), BUCKETS - 1)
+    return out
 
-class Codes:
-    """Ids of the frequent tokens, their classes, and the counts that go with them."""
 
-    def __init__(self, names: list[bytes], counts: np.ndarray):
-        self.ids = {w: i for i, w in enumerate(names)}
-        self.counts = counts
-        self.classes = np.array([i if i < CLASSES else shape(w) for i, w in enumerate(names)], np.int64)
+def estimates(counts: list, contexts: list, total: int, types: int) -> np.ndarray:
+    """The estimates of each token, by order: uniform, unigram, bigram, trigram."""
+    rows = [np.full(len(counts[0]), 1 / (types + 1)), counts[0] / max(total, 1)]
+    return np.stack([*rows, *(counts[n] / np.maximum(contexts[n], 1) for n in range(1, ORDER))])
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ids (-1: not frequent) and classes of the tokens of a text, and those that are not frequent."""
-        found = tokens(text)
-        get = self.ids.get
-        ids = np.array([get(w, -1) for w in found], np.int64)
-        classes = self.classes[ids] if len(self.classes) else np.zeros(len(ids), np.int64)
-        rare = [found[i] for i in np.flatnonzero(ids < 0).tolist()]
-        if rare:
-            classes[ids < 0] = [shape(w) for w in rare]
-        return ids, classes, rare
 
+def start() -> np.ndarray:
+    """Weights before anything is learned: even over the estimates that a bucket has."""
+    weights = np.zeros(((ORDER - 1) * BUCKETS + 1, ORDER + 1))
+    for b in range(len(weights)):
+        weights[b, : 2 + (b + BUCKETS - 1) // BUCKETS] = 1
+    return weights / weights.sum(axis=1, keepdims=True)
 
-def bigram_counts(docs: DataFrame, codes) -> DataFrame:
-    """(pair, main, held): counts of class bigrams; at most SIDE * SIDE rows."""
 
-    def run(batches):
-        both = np.zeros((2, SIDE * SIDE), np.int32)
-        start = codes.value.ids.get(END.encode(), CLASSES)  # the end of the last document comes before a first word
-        for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, classes, _ = codes.value.encode(text)
-                pair, n = np.unique(np.concatenate([[start], classes[:-1]]) * SIDE + classes, return_counts=True)
-                both[int(held), pair] += n.astype(np.int32)
-        pairs = np.flatnonzero(both[0] | both[1])
-        for low in range(0, len(pairs), 1 << 16):
-            p = pairs[low : low + (1 << 16)]
-            yield pa.record_batch([pa.array(p.astype(np.int32)), pa.array(both[0, p].astype(np.int64)), pa.array(both[1, p].astype(np.int64))], names=["pair", "main", "held"])
-
-    made = docs.select("text", "held").mapInArrow(run, "pair int, main long, held long")
-    return made.groupBy("pair").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
-
-
-def _bucket(n: np.ndarray) -> np.ndarray:
-    """Bucket of a context's frequency: doublings, 0 for an unseen one."""
-    return np.minimum(np.ceil(np.log2(np.asarray(n, float) + 1)), BUCKETS - 1).astype(int)
-
-
-def interpolate(pair: np.ndarray, main: np.ndarray, held: np.ndarray, known: np.ndarray, within: np.ndarray, total: float, types: float) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket by expectation-maximisation on the held-out counts.
-
-    known: the share of a class's held-out tokens that were seen; within: the mean probability of a seen one in its class."""
-    h, w = pair // SIDE, pair % SIDE
-    context, word = np.bincount(h, main, SIDE), np.bincount(w, main, SIDE)
-    bucket = _bucket(context)[h]
-    two = np.where(context[h] > 0, main / np.maximum(context[h], 1), 0) * within[w]
-    one = word[w] / max(total, 1) * within[w]
-    zero = np.full(len(pair), 1 / (types + 1))
-    weights = np.tile(np.array([0.5, 0.4, 0.1]), (BUCKETS, 1))
-    seen, unseen = held * known[w], held * (1 - known[w])
-    for _ in range(40):
-        parts = np.stack([two, one, zero]) * weights[bucket].T
-        share = parts / parts.sum(axis=0) * seen
-        share[2] += unseen
-        sums = np.stack([np.bincount(bucket, s, BUCKETS) for s in share], axis=1) + np.array([1e-3, 1e-3, 1e-3])
-        new = sums / sums.sum(axis=1, keepdims=True)
-        if np.abs(new - weights).max() < 1e-7:
+def learn(bucket: np.ndarray, each: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of each bucket by expectation-maximisation: ``n`` held-out tokens of each (bucket, estimates)."""
+    weights = start()
+    few = weights * 0.1  # what a bucket without tokens keeps
+    for _ in range(60):
+        share = each * weights[bucket].T
+        share *= n / share.sum(axis=0)
+        new = np.stack([np.bincount(bucket, s, len(weights)) for s in share], axis=1) + few
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - weights).max() < 1e-5:
             break
         weights = new
-    weights[0, 1:] += weights[0, 0] * np.array([0.9, 0.1])  # an unseen context has no bigrams
-    weights[0, 0] = 0
     return weights
 
 
-class Model:
-    """P(w | h) = rate[H, W] * c(w) + floor[bucket of H]: everything that does not depend on w itself."""
+def _binned(p: np.ndarray) -> np.ndarray:
+    """Probabilities by bins of a quarter of a power of ten; -1: zero."""
+    return np.where(p > 0, np.round(-BINS * np.log10(np.maximum(p, 1e-300))), -1).astype(np.int32)
 
-    def __init__(self, pair: np.ndarray, count: np.ndarray, weights: np.ndarray, total: float, types: float):
-        table = np.zeros(SIDE * SIDE)
-        table[pair] = count
-        table = table.reshape(SIDE, SIDE)
-        context, word = table.sum(axis=1), table.sum(axis=0)
-        mix = weights[_bucket(context)]
-        rate = table * (mix[:, 0] / np.maximum(context, 1))[:, None]
-        rate /= np.maximum(word, 1)[None, :]
-        rate += (mix[:, 1] / max(total, 1))[:, None]
-        self.rate = rate.astype(np.float32)
-        self.floor = (mix[:, 2] / (types + 1) if total else np.ones(SIDE)).astype(np.float32)
 
+def _weights(chunked: DataFrame, answers: DataFrame, width: int, sums: list[int], ends: int) -> np.ndarray:
+    """Weights learned from the held-out chunks, whose tokens are told from the counts of the main part."""
+    total, _, _, types = sums
+
+    def tally(chunk, rows):
+        _, made, main, _ = _read(rows, width)
+        counts, contexts = made.known(main, ends)
+        each = _binned(estimates(counts, contexts, total, types)[1:])
+        found, n = np.unique(np.concatenate([bucket_of(contexts)[None].astype(np.int32), each]), axis=1, return_counts=True)
+        yield found, n
 
-def op10(docs: DataFrame) -> DataFrame:
-    """The contract's result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10, sums over tokens)."""
-    spark = docs.sparkSession
-    part = fold(F.col("doc_id"), _FOLD)
-    train = docs.where(F.coalesce(part, F.lit(0)) != _OUT).select("text", F.coalesce(part == _HELD, F.lit(False)).alias("held"))
-    counts = written(token_counts(train), "tokens")
-    both = (F.col("main") + F.col("held")).alias("n")
-    sums = counts.agg(F.sum("main"), F.sum("held"), F.count("*"), F.sum((F.col("main") > 0).cast("long"))).first()
-    main_total, held_total, types, main_types = (int(x or 0) for x in sums)
-    total = main_total + held_total
-
-    top = counts.select("token", both).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    codes = Codes(top["token"].to_pylist(), top["n"].to_numpy())
-    sent = spark.sparkContext.broadcast(codes)
-    pairs = bigram_counts(train, sent).toArrow()
-    pair, main, held = (pairs[c].to_numpy().astype(np.int64) for c in ("pair", "main", "held"))
-
-    # what the classes of infrequent words are like: the share of held-out tokens seen before, and how probable those are
-    named = counts.select("token", "main", "held")
-    of = _class_of(named, sent)
-    rows = of.groupBy("class").agg(F.sum("held").alias("held"), F.sum(F.when(F.col("main") > 0, F.col("held")).otherwise(0)).alias("seen"), F.sum(F.when(F.col("main") > 0, F.col("held") * F.log(F.col("main").cast("double"))).otherwise(0.0)).alias("logs"), F.sum("main").alias("main")).collect()
-    known, within = np.ones(SIDE), np.ones(SIDE)
-    for r in rows:
-        if r["held"]:
-            known[r["class"]] = r["seen"] / r["held"]
-        if r["seen"] and r["main"]:
-            within[r["class"]] = np.exp(r["logs"] / r["seen"]) / r["main"]
-    weights = interpolate(pair, main, held, known, within, main_total, main_types) if held_total and main_total else np.tile(np.array([0.6, 0.35, 0.05]), (BUCKETS, 1))
-    model = Model(pair, main + held, weights, total, types)
-    learned = spark.sparkContext.broadcast(model)
-
-    out = written(_score(docs.select("doc_id", "text"), sent, learned, total, types), "scores")
-    tail = out.where("size(rare) > 0").select("key", F.explode("rare").alias("r")).select("key", "r.*")
-    looked = tail.join(counts.select("token", both), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    each = looked.groupBy("key").agg(
-        F.sum((F.col("n") > 0).cast("long")).alias("known"),
-        F.sum(F.log10(F.col("n") + 1.0)).alias("base"),
-        F.sum(F.log10(F.col("rate").cast("double") * F.col("n") + F.col("floor"))).alias("own"),
-    )
-    joined = out.drop("rare").join(each, "key", "left")
-    nothing = F.lit(0.0)
-    return joined.select(
-        "doc_id",
-        F.coalesce(fold(F.col("doc_id"), _FOLD) == _OUT, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base", nothing)).alias("base_score"),
-        (F.col("score") + F.coalesce("own", nothing)).alias("score"),
-    )
-
-
-def _class_of(counts: DataFrame, codes) -> DataFrame:
     def run(batches):
-        get = codes.value.ids.get
-        for batch in batches:
-            classes = [i if (i := get(w, CLASSES)) < CLASSES else shape(w) for w in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(classes, pa.int32()), *batch.columns[1:]], names=["class", "main", "held"])
+        for found, n in _chunks(batches, tally):
+            yield pa.record_batch([*(pa.array(x, pa.int32()) for x in found), pa.array(n, pa.int64())], names=["bucket", *cells, "n"])
+
+    cells = [f"p{k}" for k in range(1, ORDER + 1)]
+    schema = ", ".join(f"{c} int" for c in ("bucket", *cells)) + ", n long"
+    part = _met(chunked.where("chunk % 2 = 1"), answers.where("chunk >= 0 and chunk % 2 = 1"))
+    table = part.mapInArrow(run, schema).groupBy("bucket", *cells).agg(F.sum("n").alias("n")).toArrow()
+    if not table.num_rows:
+        return start()
+    bins = np.stack([table[c].to_numpy() for c in cells])
+    each = np.concatenate([np.full((1, table.num_rows), 1 / (types + 1)), np.where(bins < 0, 0, 10.0 ** (-bins / BINS))])
+    return learn(table["bucket"].to_numpy(), each, table["n"].to_numpy().astype(float))
+
+
+def scores(docs: DataFrame, key: str, role) -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; ``role`` is 0 for the main part of the training
+    documents, 1 for their held-out part, 2 for others."""
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    chunked, size = _chunked(docs, key, role)
+    grams = ORDER * (size // 6 + 1)  # about as many
+    width = min(grams.bit_length() + 20, 62)
+    answers = written(_answers(_asked(chunked, width, max(1, grams // BUCKET))), "totals")
+    gc.collect()  # the shuffle of the keys can go before the next one comes
+    spark.sparkContext._jvm.System.gc()
+    parts = F.split(F.col("data").cast("string"), ",")
+    sums = np.array([x or 0 for x in answers.where("chunk = -1").select(*(parts[k].cast("long").alias(f"s{k}") for k in range(4))).groupBy().sum().first()], np.int64)
+    tallied = {r["role"]: r["n"] for r in chunked.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    ends = [tallied.get(_MAIN_ROW, 0), tallied.get(_HELD_ROW, 0)]  # an end for each text
+    weights = _weights(chunked, answers, width, sums.tolist(), ends[0])
+    total, types = int(sums[0] + sums[1]), int(sums[2])
+    if not total:
+        weights = np.zeros_like(weights)
+        weights[:, 0] = 1
+
+    def mark(chunk, rows):
+        keys, made, main, held = _read(rows, width)
+        counts, contexts = made.known([a + b for a, b in zip(main, held)], sum(ends))
+        own = np.log10((estimates(counts, contexts, total, types) * weights[bucket_of(contexts)].T).sum(axis=0))
+        base = np.log10(counts[0] + 1.0) - np.log10(float(total + types + 1))
+        by_text = [np.add.reduceat(x, made.first) for x in ((counts[0] > 0).astype(np.int64), base, own)]
+        yield keys, made.sizes, *by_text
 
-    return counts.mapInArrow(run, "class int, main long, held long")
+    def run(batches):
+        for keys, sizes, known, base, own in _chunks(batches, mark):
+            yield pa.record_batch([pa.array(keys, field), pa.array(sizes), pa.array(known), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(own)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    field = to_arrow_type(docs.schema[key].dataType)
+    return _met(chunked, answers.where("chunk >= 0")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-def _score(docs: DataFrame, codes, model, total: int, types: int) -> DataFrame:
-    """Sums over the frequent tokens of each row, and its other tokens with what their probability needs."""
-    divisor = np.log10(float(total + types + 1))
 
-    def run(batches):
-        c, m = codes.value, model.value
-        start = c.ids.get(END.encode(), CLASSES)
-        key = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            words, rates, floors, sizes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids, classes, rare = c.encode(text)
-                before = np.concatenate([[start], classes[:-1]])
-                rate, floor = m.rate[before, classes], m.floor[before]
-                seen = ids >= 0
-                n = c.counts[ids[seen]] if len(c.counts) else np.zeros(0)
-                rows.append((len(ids), int(seen.sum()), float(np.log10(n + 1.0).sum() - divisor * len(ids)), float(np.log10(rate[seen].astype(float) * n + floor[seen]).sum())))
-                words += rare
-                rates.append(rate[~seen])
-                floors.append(floor[~seen])
-                sizes.append(len(rare))
-            lengths = np.array(sizes, np.int64)
-            tails = pa.StructArray.from_arrays([pa.array(words, pa.binary()), *(pa.array(np.concatenate([np.zeros(0, np.float32), *x])) for x in (rates, floors))], names=["token", "rate", "floor"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            keys = np.arange(key, key + len(rows), dtype=np.int64)
-            key += len(rows)
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.record_batch([batch.column(0), pa.array(keys), *(pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))), pa.ListArray.from_arrays(offsets, tails)], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    return docs.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, rare array<struct<token binary, rate float, floor float>>")
+def op10(docs: DataFrame) -> DataFrame:
+    """The contract's result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10, sums over tokens)."""
+    part = fold(F.col("doc_id"), _FOLD)
+    role = F.when(part == _OUT, _OUT_ROW).when(part == _HELD, _HELD_ROW).otherwise(_MAIN_ROW)
+    out = scores(docs, "doc_id", role)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), _FOLD) == _OUT, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
