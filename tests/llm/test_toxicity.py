@@ -41,19 +41,37 @@ def test_held_out_labels_are_not_read(spark, make):
     assert a == b
 
 
-def test_ratios_are_kneser_ney(spark):
-    rows = [("a a a bad bad", 1), ("bad b c", 1), ("a a b b c d e", 0), ("f g h bad", 0)]
-    got = toxicity.weights(spark.createDataFrame(rows, "text string, toxic int"))
-    counts = {c: Counter(w for t, k in rows if k == c for w in t.split()) for c in (0, 1)}
-    types = sum(len(c) for c in counts.values())
-
-    def p(w, c):
-        own, total = counts[c], sum(counts[c].values())
-        return (max(own[w] - 1, 0) + len(own) * sum(w in x for x in counts.values()) / types) / total
-
-    want = {w: math.log(p(w, 1) / p(w, 0)) for w in counts[1] if counts[1][w] > 1}
-    assert got.keys() == {w for w, v in want.items() if v > toxicity.MARGIN}
-    assert all(abs(got[w] - want[w]) < 1e-9 for w in got)
+def test_ratios_are_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST", 3)
+    rows = [("a a a bad bad x bad x bad", 1), ("bad b c bad x", 1), ("a a b b c d e x bad y bad", 0), ("f g h bad a a x bad", 0)]
+    model = toxicity.weights(spark.createDataFrame(rows, "text string, toxic int"))
+    two = {c: Counter(x for t, k in rows if k == c for x in zip(["", *t.split()], t.split())) for c in (0, 1)}
+    follows = {c: Counter(w for _, w in two[c]) for c in two}  # in how many contexts
+    types = sum(len(x) for x in follows.values())
+
+    def one(w, c):
+        return (max(follows[c][w] - 1, 0) + len(follows[c]) * sum(w in x for x in follows.values()) / types) / sum(follows[c].values())
+
+    def p(h, w, c):
+        n, kinds = sum(v for (g, _), v in two[c].items() if g == h), sum(g == h for g, _ in two[c])
+        return (max(two[c][h, w] - 1, 0) + kinds * one(w, c)) / n if n else one(w, c)
+
+    def ratio(h, w):
+        if h and two[0][h, w] + two[1][h, w] >= 3:
+            return math.log(p(h, w, 1) / p(h, w, 0))
+        return math.log(one(w, 1) / one(w, 0)) if max(x[w] for x in follows.values()) > 1 else 0.0
+
+    text = "x bad a a zzz bad x b f x"
+    got, sizes = model.ratios([text, None, "bad x"], model.ids())
+    want = [ratio(h, w) for t in (text, "bad x") for h, w in zip(["", *t.split()], t.split())]
+    assert sizes.tolist() == [10, 0, 2] and len(model.keys) >= 3
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want)) and min(want) < 0 < max(want)
+
+
+def test_evidence_of_both_signs():
+    model = toxicity.Model.of({"vile": 3.0, "kind": -2.5, "so": 0.5}, {("so", "kind"): -4.0})
+    rows = model.evidence(["vile so kind", "", "Kind KIND vile", None], model.ids()).tolist()
+    assert rows == [[3, -0.5, 3.0, 4.0], [0, 0, 0, 0], [3, -2.0, 3.0, 5.0], [0, 0, 0, 0]]
 
 
 def test_odd_rows(spark, make, odd):
