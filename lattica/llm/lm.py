@@ -9,11 +9,11 @@ The weights (a, b, d, u) depend on the frequency of the longest context that was
 learned by expectation-maximisation: counts of one part of the training documents are interpolated to explain another part
 (that held-out part is a seventh of the ids), then both parts are counted together. A text begins after two ends.
 
-Counts cover all n-grams of all training documents and are never collected. An n-gram is known by a hash of 20 bits more than
-the number of n-grams has, so that less than one n-gram in a million shares its key. The corpus is cut into chunks of
-``CHUNK`` bytes. Each chunk sends its distinct keys, sorted and as differences, with its own counts to the buckets of the key
-space; a bucket adds the counts of all chunks up and sends each chunk the totals of its keys, in the order in which the chunk
-asked. The chunk then meets its totals and is scored. So every shuffled row holds many n-grams, a frequent n-gram is one
+Counts cover all n-grams of all training documents and are never collected. A word is known by a hash of 62 bits, a longer n-gram by one
+of ``SPARE`` bits more than the number of n-grams has, so that not one in ten thousand shares its key. The corpus is cut into
+chunks of ``CHUNK`` bytes of text, each kept as one compressed row. Each chunk sends its distinct keys, sorted and as
+differences, with its own counts to the buckets of the key space; a bucket adds the counts of all chunks up and sends each
+chunk the totals of its keys, in the order in which the chunk asked. The chunk then meets its totals and is scored. So every shuffled row holds many n-grams, a frequent n-gram is one
 entry per chunk, and a task holds a bucket or a chunk, whatever the size of the corpus. For the weights the same is done with the
 held-out chunks alone: their tokens are counted by (context bucket, binned probabilities), a table whose size no corpus
 exceeds, and that table alone goes to the driver.
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -43,15 +44,17 @@ ORDER = 3
 CHUNK = 12 << 20
 BUCKET = 400_000
 BUCKETS = 24
+SPARE = 14
+WIDE = 62
 BINS = 4  # to a power of ten
 END = b" "  # no word holds a blank
 _FOLD, _OUT, _HELD = 7, 2, 5
 _MAIN_ROW, _HELD_ROW, _OUT_ROW = 0, 1, 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in bytes with A-Z lower-cased, cut at ASCII white space, and one end."""
-    out = (text or "").encode().lower().split()
+def tokens(text: bytes) -> list[bytes]:
+    """Words with A-Z lower-cased, cut at ASCII white space, and one end."""
+    out = text.lower().split()
     out.append(END)
     return out
 
@@ -73,7 +76,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """Texts of one chunk as arrays: for each order the sorted distinct keys, and the place of each token's n-gram among them."""
 
-    def __init__(self, texts: list[str | None], width: int):
+    def __init__(self, texts: list[bytes], widths: list[int]):
         ids = Ids()
         get = ids.__getitem__
         parts = [np.fromiter(map(get, found := tokens(t)), np.int32, len(found)) for t in texts]
@@ -84,7 +87,6 @@ class Chunk:
         word = names[at] if len(at) else np.empty(0, np.uint64)
         first = np.cumsum(self.sizes) - self.sizes
         self.first = first
-        shift = np.uint64(64 - width)
         hashes, blank = [word], np.array([end])
         for _ in range(1, ORDER):  # an n-gram is the one of order n - 1 that ends before its last word, and that word
             before = np.empty_like(word)
@@ -92,9 +94,9 @@ class Chunk:
             before[first] = blank
             hashes.append(_mixed(before * np.uint64(3) + word))
             blank = _mixed(blank * np.uint64(3) + end)
-        self.keys, self.places, self.order = [], [], []
+        self.keys, self.places = [], []
         for n, h in enumerate(hashes):
-            key = _mixed(h + np.uint64(n)) >> shift
+            key = _mixed(h + np.uint64(n)) >> np.uint64(64 - widths[n])
             turn = np.argsort(key)
             ordered = key[turn]
             new = np.ones(len(key), bool)
@@ -132,67 +134,116 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{chr(data[0])}", offset=1)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte: the lowest bytes of all, the next ones, ...; the upper ones say little and shrink."""
+    most = int(values.max(initial=0))
+    n = max(1, -(-most.bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T)
+    low = max(n - 2, 1)
+    return bytes([n, low]) + planes[:low].tobytes() + (zstandard.compress(planes[low:].tobytes(), 3) if low < n else b"")
+
+
+def _unplaned(data: bytes, count: int) -> np.ndarray:
+    n, low = data[0], data[1]
+    planes = np.zeros((8, count), np.uint8)
+    planes[:low] = np.frombuffer(data, np.uint8, low * count, 2).reshape(low, count)
+    if low < n:
+        planes[low:n] = np.frombuffer(zstandard.decompress(data[2 + low * count :]), np.uint8).reshape(n - low, count)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(count)
+
+
+def _joined(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(8, "little") + a + b
+
+
+def _parted(data: bytes) -> tuple[bytes, bytes]:
+    size = int.from_bytes(data[:8], "little")
+    return data[8 : 8 + size], data[8 + size :]
+
+
 def edges(width: int, buckets: int) -> np.ndarray:
     """The first key of each bucket but the first."""
     return np.array([-(-(b << width) // buckets) for b in range(1, buckets)], np.uint64)
 
 
-def _chunked(docs: DataFrame, key: str, role) -> tuple[DataFrame, int]:
-    """((chunk, key, role, text), bytes of all texts): odd chunks are the held-out part of the training documents.
+def _chunked(docs: DataFrame, key: str, role) -> DataFrame:
+    """(chunk, keys, roles, sizes, texts, bytes): one row a chunk; odd ones are of the held-out part of the training documents.
 
-    Rows are dealt by a hash of key and text, so that a chunk is the same set of rows whenever it is worked out."""
-    plain = docs.select(F.col(key).alias("key"), role.cast("byte").alias("role"), "text")
-    size = plain.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
-    chunks = max(-(-size // CHUNK), min(64, -(-size // (1 << 16))), 1)
-    held = F.col("role") == _HELD_ROW
-    number = F.pmod(F.xxhash64("key", "text"), F.when(held, -(-chunks // _FOLD)).otherwise(chunks)).cast("long")
-    return plain.select((number * 2 + held.cast("long")).alias("chunk"), "key", "role", "text"), size
+    ``texts`` has the bytes of all texts, compressed; ``sizes`` the length of each."""
+    kind = docs.schema[key].dataType
+    arrow = pa.list_(to_arrow_type(kind))
+    names = ["chunk", "keys", "roles", "sizes", "texts", "bytes"]
 
+    def run(batches):
+        base, count = TaskContext.get().partitionId() << 24, 0
+        kept: list[list[tuple]] = [[], []]
+        used = [0, 0]
+
+        def pack(held: int):
+            nonlocal count
+            keys, roles, texts = zip(*kept[held])
+            row = [(base + count) * 2 + held], [list(keys)], [list(roles)], [[len(t) for t in texts]], [zstandard.compress(b"".join(texts), 3)], [used[held]]
+            count, kept[held], used[held] = count + 1, [], 0
+            return pa.record_batch([pa.array(x, k) for x, k in zip(row, (pa.int64(), arrow, pa.list_(pa.int8()), pa.list_(pa.int64()), pa.binary(), pa.int64()))], names=names)
 
-def _chunks(batches, take):
-    """``take(chunk, rows)`` for each run of rows of one chunk; rows are lists of the batch's columns from the second."""
-    def rows():
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+            for k, r, t in zip(*(c.to_pylist() for c in batch.columns)):
+                held, text = int(r == _HELD_ROW), (t or "").encode()
+                if kept[held] and used[held] + len(text) > CHUNK:
+                    yield pack(held)
+                kept[held].append((k, r, text))
+                used[held] += len(text) + 1
+        for held in (0, 1):
+            if kept[held]:
+                yield pack(held)
+
+    schema = f"chunk long, keys array<{kind.simpleString()}>, roles array<byte>, sizes array<long>, texts binary, bytes long"
+    return docs.select(F.col(key).alias("key"), role.cast("byte").alias("role"), "text").mapInArrow(run, schema)
+
+
+def _texts(sizes: list[int], data: bytes) -> list[bytes]:
+    """The texts of a chunk's row."""
+    whole = zstandard.decompress(data)
+    ends = np.cumsum(sizes).tolist()
+    return [whole[e - n : e] for e, n in zip(ends, sizes)]
+
 
-    for chunk, group in groupby(rows(), key=lambda r: r[0]):
-        yield from take(chunk, group)
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
-def _asked(chunked: DataFrame, width: int, buckets: int) -> DataFrame:
+def _asked(chunked: DataFrame, widths: list[int], buckets: int) -> DataFrame:
     """(bucket, turn, chunk, data): the sorted keys of each chunk and order that fall in a bucket, and their counts."""
-    cuts = edges(width, buckets)
-
-    def ask(chunk, rows):
-        texts, roles = [], []
-        for _, role, text in rows:
-            texts.append(text)
-            roles.append(role)
-        made = Chunk(texts, width)
+    cuts = [edges(w, buckets) for w in widths]
+
+    def ask(chunk, roles, sizes, data):
+        made = Chunk(_texts(sizes, data), widths)
         for n, (keys, counts) in enumerate(zip(made.keys, made.counted(np.array(roles) != _OUT_ROW))):
-            bounds = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+            bounds = [0, *np.searchsorted(keys, cuts[n]).tolist(), len(keys)]
             for b in range(buckets):
                 low, high = bounds[b], bounds[b + 1]
                 if low < high:
-                    steps = _packed(np.diff(keys[low:high], prepend=cuts[b - 1] if b else np.uint64(0)))
-                    yield b, n, chunk, len(steps).to_bytes(8, "little") + steps + _packed(counts[low:high])
+                    steps = np.diff(keys[low:high], prepend=cuts[n][b - 1] if b else np.uint64(0))
+                    yield b, n, chunk, _joined(_planes(steps), _packed(counts[low:high]))
 
     def run(batches):
         out: list[tuple] = []
         size = 0
-        for row in _chunks(batches, ask):
-            out.append(row)
-            size += len(row[3])
-            if size > 1 << 24:
-                yield _batch(out)
-                out, size = [], 0
+        for chunk in _rows(batches):
+            for row in ask(*chunk):
+                out.append(row)
+                size += len(row[3])
+                if size > 1 << 24:
+                    yield _batch(out)
+                    out, size = [], 0
         if out:
             yield _batch(out)
 
     def _batch(out):
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int8(), pa.int64(), pa.binary()))], names=["bucket", "turn", "chunk", "data"])
 
-    return chunked.select("chunk", "role", "text").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "bucket int, turn byte, chunk long, data binary")
+    return chunked.select("chunk", "roles", "sizes", "texts").mapInArrow(run, "bucket int, turn byte, chunk long, data binary")
 
 
 def _answers(asked: DataFrame) -> DataFrame:
@@ -203,9 +254,9 @@ def _answers(asked: DataFrame) -> DataFrame:
     def answer(bucket, turn, rows):
         keys, counts, chunks = [], [], []
         for chunk, data in rows:
-            size = int.from_bytes(data[:8], "little")
-            keys.append(np.cumsum(_unpacked(data[8 : 8 + size]).astype(np.uint64), dtype=np.uint64))
-            counts.append(_unpacked(data[8 + size :]).astype(np.int64))
+            steps, count = _parted(data)
+            counts.append(_unpacked(count).astype(np.int64))
+            keys.append(np.cumsum(_unplaned(steps, len(counts[-1])), dtype=np.uint64))
             chunks.append(chunk)
         every = np.unique(np.concatenate(keys))
         totals = np.zeros((2, len(every)), np.int64)
@@ -213,18 +264,13 @@ def _answers(asked: DataFrame) -> DataFrame:
         for chunk, place, count in zip(chunks, places, counts):
             totals[chunk & 1, place] += count
         for chunk, place in zip(chunks, places):
-            main = _packed(totals[0, place])
-            yield chunk, turn, bucket, zstandard.compress(len(main).to_bytes(8, "little") + main + _packed(totals[1, place]), 1)
+            yield chunk, turn, bucket, zstandard.compress(_joined(_packed(totals[0, place]), _packed(totals[1, place])), 3)
         if turn == 0:
             sums = [*totals.sum(axis=1).tolist(), int((totals.sum(axis=0) > 0).sum()), int((totals[0] > 0).sum())]
             yield -1, turn, bucket, ",".join(map(str, sums)).encode()
 
     def run(batches):
-        def rows():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        for (bucket, turn), group in groupby(rows(), key=lambda r: r[:2]):
+        for (bucket, turn), group in groupby(_rows(batches), key=lambda r: r[:2]):
             out = list(answer(bucket, turn, ((r[2], r[3]) for r in group)))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int8(), pa.int32(), pa.binary()))], names=["chunk", "turn", "bucket", "data"])
 
@@ -233,27 +279,21 @@ def _answers(asked: DataFrame) -> DataFrame:
 
 def _met(chunked: DataFrame, answers: DataFrame) -> DataFrame:
     """Chunks and their answers side by side: first the answers in the order of their keys, then the texts."""
-    key = chunked.schema["key"].dataType.simpleString()
-    none = {"bucket": "int", "data": "binary", "key": key, "role": "byte", "text": "string"}
-    texts = chunked.select("chunk", F.lit(ORDER).cast("byte").alias("turn"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "key", "role", "text")
-    totals = answers.select("chunk", "turn", "bucket", "data", *(F.lit(None).cast(none[c]).alias(c) for c in ("key", "role", "text")))
+    columns = {c: chunked.schema[c].dataType.simpleString() for c in ("keys", "sizes")}
+    texts = chunked.select("chunk", F.lit(ORDER).cast("byte").alias("turn"), F.lit(0).alias("bucket"), F.col("texts").alias("data"), *columns)
+    totals = answers.select("chunk", "turn", "bucket", "data", *(F.lit(None).cast(k).alias(c) for c, k in columns.items()))
     return totals.union(texts).repartition("chunk").sortWithinPartitions("chunk", "turn", "bucket")
 
 
-def _read(rows, width: int):
-    """(texts' keys, Chunk, main totals by order, held-out totals by order) of the rows of one chunk."""
-    main, held = [[] for _ in range(ORDER)], [[] for _ in range(ORDER)]
-    keys, texts = [], []
-    for _, turn, _, data, key, _, text in rows:
-        if turn < ORDER:
-            data = zstandard.decompress(data)
-            size = int.from_bytes(data[:8], "little")
-            main[turn].append(_unpacked(data[8 : 8 + size]).astype(np.int64))
-            held[turn].append(_unpacked(data[8 + size :]).astype(np.int64))
-        else:
-            keys.append(key)
-            texts.append(text)
-    return keys, Chunk(texts, width), [np.concatenate(x) for x in main], [np.concatenate(x) for x in held]
+def _each(batches, widths: list[int]):
+    """(keys, Chunk, main totals by order, held-out totals by order) of each chunk of :func:`_met`."""
+    for _, rows in groupby(_rows(batches), key=lambda r: r[0]):
+        parts = [[[] for _ in range(ORDER)] for _ in range(2)]
+        for _, turn, _, data, keys, sizes in rows:
+            if turn < ORDER:
+                for part, packed in zip(parts, _parted(zstandard.decompress(data))):
+                    part[turn].append(_unpacked(packed).astype(np.int64))
+        yield keys, Chunk(_texts(sizes, data), widths), *([np.concatenate(x) for x in part] for part in parts)
 
 
 def bucket_of(contexts: list) -> np.ndarray:
@@ -299,19 +339,15 @@ def _binned(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(-BINS * np.log10(np.maximum(p, 1e-300))), -1).astype(np.int32)
 
 
-def _weights(chunked: DataFrame, answers: DataFrame, width: int, sums: list[int], ends: int) -> np.ndarray:
+def _weights(chunked: DataFrame, answers: DataFrame, widths: list[int], sums: list[int], ends: int) -> np.ndarray:
     """Weights learned from the held-out chunks, whose tokens are told from the counts of the main part."""
     total, _, _, types = sums
 
-    def tally(chunk, rows):
-        _, made, main, _ = _read(rows, width)
-        counts, contexts = made.known(main, ends)
-        each = _binned(estimates(counts, contexts, total, types)[1:])
-        found, n = np.unique(np.concatenate([bucket_of(contexts)[None].astype(np.int32), each]), axis=1, return_counts=True)
-        yield found, n
-
     def run(batches):
-        for found, n in _chunks(batches, tally):
+        for _, made, main, _ in _each(batches, widths):
+            counts, contexts = made.known(main, ends)
+            each = _binned(estimates(counts, contexts, total, types)[1:])
+            found, n = np.unique(np.concatenate([bucket_of(contexts)[None].astype(np.int32), each]), axis=1, return_counts=True)
             yield pa.record_batch([*(pa.array(x, pa.int32()) for x in found), pa.array(n, pa.int64())], names=["bucket", *cells, "n"])
 
     cells = [f"p{k}" for k in range(1, ORDER + 1)]
@@ -330,33 +366,30 @@ def scores(docs: DataFrame, key: str, role) -> DataFrame:
     documents, 1 for their held-out part, 2 for others."""
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    chunked, size = _chunked(docs, key, role)
+    chunked = written(_chunked(docs, key, role), "chunks")
+    size = chunked.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     grams = ORDER * (size // 6 + 1)  # about as many
-    width = min(grams.bit_length() + 20, 62)
-    answers = written(_answers(_asked(chunked, width, max(1, grams // BUCKET))), "totals")
+    widths = [WIDE, *[min(grams.bit_length() + SPARE, WIDE)] * (ORDER - 1)]
+    answers = written(_answers(_asked(chunked, widths, max(1, grams // BUCKET))), "totals")
     gc.collect()  # the shuffle of the keys can go before the next one comes
     spark.sparkContext._jvm.System.gc()
     parts = F.split(F.col("data").cast("string"), ",")
     sums = np.array([x or 0 for x in answers.where("chunk = -1").select(*(parts[k].cast("long").alias(f"s{k}") for k in range(4))).groupBy().sum().first()], np.int64)
-    tallied = {r["role"]: r["n"] for r in chunked.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    tallied = {r["role"]: r["n"] for r in chunked.select(F.explode("roles").alias("role")).groupBy("role").agg(F.count("*").alias("n")).collect()}
     ends = [tallied.get(_MAIN_ROW, 0), tallied.get(_HELD_ROW, 0)]  # an end for each text
-    weights = _weights(chunked, answers, width, sums.tolist(), ends[0])
+    weights = _weights(chunked, answers, widths, sums.tolist(), ends[0])
     total, types = int(sums[0] + sums[1]), int(sums[2])
     if not total:
         weights = np.zeros_like(weights)
         weights[:, 0] = 1
 
-    def mark(chunk, rows):
-        keys, made, main, held = _read(rows, width)
-        counts, contexts = made.known([a + b for a, b in zip(main, held)], sum(ends))
-        own = np.log10((estimates(counts, contexts, total, types) * weights[bucket_of(contexts)].T).sum(axis=0))
-        base = np.log10(counts[0] + 1.0) - np.log10(float(total + types + 1))
-        by_text = [np.add.reduceat(x, made.first) for x in ((counts[0] > 0).astype(np.int64), base, own)]
-        yield keys, made.sizes, *by_text
-
     def run(batches):
-        for keys, sizes, known, base, own in _chunks(batches, mark):
-            yield pa.record_batch([pa.array(keys, field), pa.array(sizes), pa.array(known), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(own)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for keys, made, main, held in _each(batches, widths):
+            counts, contexts = made.known([a + b for a, b in zip(main, held)], sum(ends))
+            own = np.log10((estimates(counts, contexts, total, types) * weights[bucket_of(contexts)].T).sum(axis=0))
+            base = np.log10(counts[0] + 1.0) - np.log10(float(total + types + 1))
+            known, base, own = (np.add.reduceat(x, made.first) for x in ((counts[0] > 0).astype(np.int64), base, own))
+            yield pa.record_batch([pa.array(keys, field), pa.array(made.sizes), pa.array(known), pa.array(np.full(len(keys), total, np.int64)), pa.array(base), pa.array(own)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     field = to_arrow_type(docs.schema[key].dataType)
     return _met(chunked, answers.where("chunk >= 0")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

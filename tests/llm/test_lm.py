@@ -111,6 +111,14 @@ def test_probabilities_of_a_context_add_up_to_one():
         assert (each * weights[lm.bucket_of(contexts)].T).sum() == pytest.approx(1)
 
 
+def test_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 1000):
+        for bits in (0, 3, 8, 9, 24, 40, 63):
+            x = rng.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=True)
+            assert lm._unplaned(lm._planes(x), n).tolist() == x.tolist() and lm._unpacked(lm._packed(x)).tolist() == x.tolist()
+
+
 def test_weights_are_learned():
     sure = lm.learn(np.array([30, 30]), np.array([[1e-3] * 2, [0.5, 0.5], [0.5, 0.5], [0.99, 0.99]]), np.array([500.0, 500.0]))
     assert sure[30, 3] > 0.9
@@ -120,8 +128,8 @@ def test_weights_are_learned():
 
 def test_keys_of_many_chunks_are_those_of_one():
     texts = corpus(30)
-    whole = lm.Chunk(texts, 50)
-    parts = [lm.Chunk([t], 50) for t in texts]
+    whole = lm.Chunk([(t or "").encode() for t in texts], [62, 50, 50])
+    parts = [lm.Chunk([(t or "").encode()], [62, 50, 50]) for t in texts]
     for n in range(lm.ORDER):
         assert set(whole.keys[n].tolist()) == set().union(*(p.keys[n].tolist() for p in parts))
         assert whole.keys[n][whole.places[n]].tolist() == [k for p in parts for k in p.keys[n][p.places[n]].tolist()]
