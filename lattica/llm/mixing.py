@@ -5,9 +5,12 @@ slot floor(j / w), due by slot ceil((j + 1) / w). Slot after slot, the released
 As the weights add up to one this meets every window, so at any slot t each source has had between w t - 1 and w t + 1
 blocks: it is never a whole block off its target while it has blocks left.
 
-Weights are rounded to multiples of 1 / ``PERIOD`` (largest remainders; every source gets at least one). After ``PERIOD``
-slots all windows start anew, so the schedule of one period is worked out once, in one row whose size is that of the set of
-sources and not of the data, and every block finds its slot by arithmetic. When a source has no blocks left its slots stay
+Weights are whole numbers of slots in a period, after which all windows start anew: the schedule of one period is worked out
+once, in one row whose size is that of the set of sources and not of the data, and every block finds its slot by arithmetic.
+Given targets are taken as the exact fractions they are written as (0.7, 0.2 and 0.1 are 7, 2 and 1 of 10 slots), so the bound
+holds for them over any number of periods. Only if their common denominator exceeds ``LONGEST`` slots (and ten for each source) are
+they rounded to that period. Without targets a source's weight is its size to ``POWER``, in slots of a period of about ``PERIOD``, or ten for each
+source if that is more; every source gets at least one. When a source has no blocks left its slots stay
 empty: all rows are kept, and the others keep their order and their proportions.
 
 The running number of a document inside its source comes from 4096 hash buckets: a window counts inside (source, bucket),
@@ -20,6 +23,9 @@ further columns are kept (those named like the results are replaced).
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,24 +33,36 @@ from lattica.llm.common import broadcast_if_small, written
 
 BLOCK = 16
 PERIOD = 1000
+LONGEST = 20_000
 POWER = 0.7
 SEED = "mix-1"
 
 
+def _whole(targets: dict[str, float]) -> dict[str, int]:
+    """Targets as the smallest whole numbers in the same proportions."""
+    exact = {k: Fraction(str(v)) for k, v in targets.items()}
+    if min(exact.values()) <= 0:
+        raise ValueError("a target weight must be positive")
+    unit = math.lcm(*(v.denominator for v in exact.values()))
+    whole = {k: int(v * unit) for k, v in exact.items()}
+    return {k: v // math.gcd(*whole.values()) for k, v in whole.items()}
+
+
 def quotas(docs: DataFrame, targets: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """(name, i, quota): each source's slots in a period. Without targets, weights go with the source's size to ``POWER``."""
+    """(name, i, quota): each source's slots in a period, which is the sum of all quotas."""
     sizes = docs.groupBy(_name().alias("name")).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total, least = F.sum("w").over(whole), F.count("*").over(whole) * 10
     if targets:
-        known = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (f"s{k}", float(v))])
-        weight = F.coalesce(F.try_element_at(known, F.col("name")), F.lit(float(min(targets.values()))))
+        slots = _whole(targets)
+        known = F.create_map(*[F.lit(x) for k, v in slots.items() for x in (f"s{k}", v)])
+        weighed = sizes.select("name", F.coalesce(F.try_element_at(known, F.col("name")), F.lit(min(slots.values()))).cast("long").alias("w"))
+        longest = F.greatest(F.lit(LONGEST), least)
+        quota = F.when(total <= longest, F.col("w")).otherwise(F.greatest(F.lit(1), F.round(F.col("w") / total * longest)))
     else:
-        weight = F.pow(F.col("n").cast("double"), F.lit(POWER))
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weighed = sizes.select("name", weight.alias("w")).withColumn("exact", F.col("w") / F.sum("w").over(whole) * F.greatest(F.lit(0), F.lit(period) - F.count("*").over(whole)))
-    floored = weighed.withColumn("base", F.floor("exact").cast("long") + 1)
-    order = Window.orderBy(F.desc(F.round(F.col("exact") - F.floor("exact"), 9)), "name")
-    spare = F.greatest(F.lit(period), F.count("*").over(whole)) - F.sum("base").over(whole)
-    return floored.withColumn("quota", F.col("base") + (F.row_number().over(order) <= spare).cast("long")).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i"), "quota")
+        weighed = sizes.select("name", F.pow(F.col("n").cast("double"), F.lit(POWER)).alias("w"))
+        quota = F.greatest(F.lit(1), F.round(F.round(F.col("w") / total * F.greatest(F.lit(period), least), 6)))
+    return weighed.withColumn("quota", quota.cast("long")).select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("i"), "quota")
 
 
 def pattern(quota: DataFrame) -> DataFrame:
@@ -105,14 +123,10 @@ WITH RECURSIVE named AS (
     SELECT doc_id, source, coalesce('s' || source, 'n') AS name, md5('{SEED}:' || CAST(doc_id AS VARCHAR)) AS key FROM documents
 ), sizes AS (
     SELECT name, pow(CAST(count(*) AS DOUBLE), {POWER}) AS w FROM named GROUP BY name
-), exact AS (
-    SELECT name, w / sum(w) OVER () * greatest(0, {PERIOD} - count(*) OVER ()) AS e FROM sizes
-), floored AS (
-    SELECT name, CAST(floor(e) AS BIGINT) + 1 AS base, round(e - floor(e), 9) AS rest FROM exact
+), shares AS (
+    SELECT name, w / sum(w) OVER () * greatest({PERIOD}, 10 * count(*) OVER ()) AS e FROM sizes
 ), quota AS (
-    SELECT name, row_number() OVER (ORDER BY name) AS i,
-           base + CASE WHEN row_number() OVER (ORDER BY rest DESC, name) <= greatest({PERIOD}, count(*) OVER ()) - sum(base) OVER () THEN 1 ELSE 0 END AS q
-    FROM floored
+    SELECT name, row_number() OVER (ORDER BY name) AS i, CAST(greatest(1, round(round(e, 6))) AS BIGINT) AS q FROM shares
 ), total AS (
     SELECT CAST(sum(q) AS BIGINT) AS period, list(CAST(q AS BIGINT) ORDER BY i) AS qs FROM quota
 ), sim AS (

@@ -25,19 +25,33 @@ def edf(quota):
     return out
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 7, "b": 1, "c": 1}])
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 7, "b": 1, "c": 1}, {"a": 0.333, "b": 0.25, "c": 1.5}])
 def test_less_than_one_block_off(make, targets):
+    """Slot by slot as by the definition, and against the exact targets over many periods."""
     docs = documents(make, {"a": 900, "b": 500, "c": 300})
     quota = {r.name: r.quota for r in mixing.quotas(docs, targets).collect()}
-    assert sum(quota.values()) == mixing.PERIOD
+    period = sum(quota.values())
     if targets:
-        assert all(abs(Fraction(quota["s" + k], mixing.PERIOD) - Fraction(v) / Fraction(sum(targets.values()))) < Fraction(2, mixing.PERIOD) for k, v in targets.items())
+        exact = {k: Fraction(str(v)) for k, v in targets.items()}
+        assert all(Fraction(quota["s" + k], period) == v / sum(exact.values()) for k, v in exact.items())
+    else:
+        sizes = {"sa": 900**0.7, "sb": 500**0.7, "sc": 300**0.7}
+        assert all(abs(quota[k] / period - v / sum(sizes.values())) < 1 / mixing.PERIOD for k, v in sizes.items())
     slots = [r.name for r in sorted(mixing.pattern(mixing.quotas(docs, targets)).collect(), key=lambda r: r.slot)]
     assert slots == edf(quota)
     seen = dict.fromkeys(quota, 0)
-    for t, name in enumerate(slots, 1):
-        seen[name] += 1
-        assert all(abs(Fraction(q * t, mixing.PERIOD) - seen[s]) < 1 for s, q in quota.items())
+    for t in range(1, 5 * period + 1):
+        seen[slots[(t - 1) % period]] += 1
+        assert all(abs(Fraction(q * t, period) - seen[s]) < 1 for s, q in quota.items())
+
+
+def test_rounded_only_beyond_the_longest_period(make):
+    docs = documents(make, {"a": 5, "b": 5})
+    assert mixing._whole({"a": 1000, "b": 1}) == {"a": 1000, "b": 1} and mixing._whole({"a": 0.5, "b": 0.25}) == {"a": 2, "b": 1}
+    quota = {r.name: r.quota for r in mixing.quotas(docs, {"a": 0.123456789, "b": 0.987654321}).collect()}
+    assert abs(sum(quota.values()) - mixing.LONGEST) <= 1 and abs(quota["sa"] / quota["sb"] - 0.123456789 / 0.987654321) < 1e-4
+    with pytest.raises(ValueError):
+        mixing._whole({"a": 0.0})
 
 
 def test_places(make):
@@ -65,8 +79,12 @@ def test_odd_rows(make, odd):
 
 
 def test_many_sources(make):
-    rows = mixing.op8(documents(make, {f"s{i}": 3 for i in range(1200)})).collect()
-    assert len(rows) == 3600 and len({r.mix_position for r in rows}) == 3600
+    """Weights count however many sources there are."""
+    docs = documents(make, {f"s{i}": 3 for i in range(1200)} | {"big": 900})
+    rows = mixing.op8(docs).collect()
+    assert len(rows) == 4500 and len({r.mix_position for r in rows}) == 4500
+    weight = {r.source: r.mix_weight for r in rows}
+    assert 30 < weight["big"] / weight["s7"] < 80  # 300 ** 0.7 is 54
 
 
 def test_as_the_sql(spark, sf):
