@@ -10,7 +10,7 @@ where there are fewer), whole texts. All documents are scored over their whole t
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language that sorts first; if
 nothing can be learned all documents are ``und``; repeated rows are scored each; a null id is
 in no fold and never learned from; an empty table gives an empty table;
-further columns are ignored. Letters are those of Unicode, lower-cased.
+further columns are ignored. Letters are those of Unicode's category L, lower-cased; numerals are none.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ PER_LANGUAGE = 1000
 PROFILE = 400
 ORDERS = 3
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))  # such as ², ½ and Ⅷ
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 
 
 def grams(text: str | None) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import Counter
 
 from lattica.llm import langid
@@ -76,3 +77,10 @@ def test_held_out_accuracy_on_the_tables(spark, sf):
     langs = {r.doc_id: r.lang for r in docs.collect()}
     held = [(r.lang_pred, langs[r.doc_id]) for r in langid.op9(docs).collect() if r.held_out and langs[r.doc_id] and r.lang_pred != "und"]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_letters_are_those_of_the_category():
+    for c in map(chr, range(0x30000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert bool(langid._LETTERS.fullmatch(c)) == (unicodedata.category(c)[0] == "L")
+    assert not len(langid.grams("² ½ Ⅷ 12 _"))
