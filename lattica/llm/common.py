@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -57,6 +59,16 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go now: Spark deletes them once the driver has collected what refers to them.
+
+    The first round drops Python's references, the second what they kept alive in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def fold(column, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

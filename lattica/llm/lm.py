@@ -26,7 +26,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from itertools import groupby
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lattica.llm.common import fold, written
+from lattica.llm.common import fold, release, written
 
 ORDER = 3
 CHUNK = 12 << 20
@@ -371,13 +370,13 @@ def scores(docs: DataFrame, key: str, role) -> DataFrame:
     grams = ORDER * (size // 6 + 1)  # about as many
     widths = [WIDE, *[min(grams.bit_length() + SPARE, WIDE)] * (ORDER - 1)]
     answers = written(_answers(_asked(chunked, widths, max(1, grams // BUCKET))), "totals")
-    gc.collect()  # the shuffle of the keys can go before the next one comes
-    spark.sparkContext._jvm.System.gc()
+    release(spark)  # the shuffle of the keys can go before the next one comes
     parts = F.split(F.col("data").cast("string"), ",")
     sums = np.array([x or 0 for x in answers.where("chunk = -1").select(*(parts[k].cast("long").alias(f"s{k}") for k in range(4))).groupBy().sum().first()], np.int64)
     tallied = {r["role"]: r["n"] for r in chunked.select(F.explode("roles").alias("role")).groupBy("role").agg(F.count("*").alias("n")).collect()}
     ends = [tallied.get(_MAIN_ROW, 0), tallied.get(_HELD_ROW, 0)]  # an end for each text
     weights = _weights(chunked, answers, widths, sums.tolist(), ends[0])
+    release(spark)
     total, types = int(sums[0] + sums[1]), int(sums[2])
     if not total:
         weights = np.zeros_like(weights)
