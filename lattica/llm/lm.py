@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lattica.llm.common import fold, release, written
 
 ORDER = 3
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 BUCKET = 400_000
 BUCKETS = 24
 SPARE = 14
@@ -100,7 +100,7 @@ class Chunk:
             ordered = key[turn]
             new = np.ones(len(key), bool)
             new[1:] = ordered[1:] != ordered[:-1]
-            place = np.empty(len(key), np.int64)
+            place = np.empty(len(key), np.int32)
             place[turn] = np.cumsum(new) - 1
             self.keys.append(ordered[new])
             self.places.append(place)
