@@ -7,6 +7,16 @@ therefore kept by such sets of five: C(8,5) = 56 keys for each distinct fingerpr
 have a tally of five or more. No pairs with smaller tallies are ever made, and no pair is shuffled: inside a key only
 three bytes are free, so members are verified there, and only the edges of a spanning forest leave it.
 
+:func:`near_duplicates` takes fingerprints of 64 bits at three differing bits. :func:`similar` is for texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more: a pair at 0.8 differs in 15 % of its bits, which needs longer fingerprints.
+There ``LONG`` bits stand for the set, in 64 positional bytes. So far apart no number of equal bytes is certain, and the least
+tally is that of chance: at 0.8 a pair shares 17 bytes on average, and of all pairs of bytes as many are made keys that one is
+shared with 98 % probability (99.9 % at 0.85). With the number of texts the keys grow from two bytes to three and four, so that the lists
+under a key stay short. Fingerprints under a key that differ in ``FAR`` of their first 256 bits or fewer (0.8 and three standard deviations)
+are candidates. In a long list they are not paired with all others: a key gives each its neighbours in an order of the key's own and
+the edges of a search that connect all of them, so that a text has many partners over its keys. Every edge is verified
+by the exact similarity of the two sets.
+
 Edge cases: a null or wordless text has fingerprint zero, linked like any other; texts of one or two words have one
 shingle, the whole word sequence; equal fingerprints (exact copies, repeated rows) are one node of the index, so a group
 of copies of any size is one row there; rows with a null id keep their row, with the component of their fingerprint (null
@@ -16,6 +26,7 @@ if no row of it has an id); an empty table gives an empty table; further columns
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import forget, written
+from lattica.llm.common import forget, list_array, written
 
 SEED = 42
 MAX_BITS = 3
@@ -181,15 +192,211 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return hashed.join(classes, "simhash").select(key, "simhash", "component")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` without near copies: of each group, the document with the smallest key stays (once, if its row is repeated).
+# ---- fingerprints for a similarity of 0.8
+
+LONG = 512
+FAR = 58
+SIMILAR = 0.8
+SHINGLE = 5
+_NEAR = (1 - 0.1515) ** 8  # that a positional byte is shared at similarity 0.8
+_MULTIPLIER, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_WORDS = LONG // 64
+_NAMES = [f"f{i}" for i in range(_WORDS)]
+_COMPARED = _NAMES[:4]
+_BESIDE = 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, hashes: dict[bytes, int]) -> np.ndarray:
+    """Hashes of the distinct five-word shingles of a text; ``hashes`` keeps those of words."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    words = np.array([hashes.get(w) or hashes.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in found], np.uint64)
+    n = min(SHINGLE, len(words))
+    out = words[: len(words) - n + 1]
+    for k in range(1, n):
+        out = out * _MULTIPLIER + words[k : len(words) - n + 1 + k]
+    return np.unique(_mixed(out))
+
+
+def long_fingerprint(found: np.ndarray) -> np.ndarray:
+    """``LONG`` bits of a set of shingles: 1 if set in more than half of them; the least shingle decides where it is half."""
+    if not len(found):
+        return np.zeros(_WORDS, np.uint64)
+    total = np.zeros(LONG, np.int64)
+    seeds = np.arange(1, _WORDS + 1, dtype=np.uint64) * _MULTIPLIER
+    place = np.arange(LONG // 8) * 256
+    for low in range(0, len(found), _BLOCK):
+        spread = _mixed(found[low : low + _BLOCK, None] ^ seeds)
+        counts = np.bincount((spread.view(np.uint8).reshape(-1, LONG // 8) + place).ravel(), minlength=len(place) * 256)
+        total += (counts.reshape(-1, 256) @ _BITS).ravel()
+    least = np.unpackbits(_mixed(found[:1] ^ seeds).view(np.uint8), bitorder="little")
+    return np.packbits(np.where(total * 2 == len(found), least, total * 2 > len(found)).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def long_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without ``text`` but with the long fingerprint's words as signed longs."""
+
+    def run(batches):
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                out.append(long_fingerprint(shingles(t, hashes)))
+                if len(hashes) > 500_000:
+                    hashes.clear()
+            words = np.array(out, np.uint64).reshape(-1, _WORDS).view(np.int64)
+            yield pa.record_batch([*batch.columns[1:], *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=[*batch.schema.names[1:], *_NAMES])
+
+    keep = [c for c in docs.columns if c != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, ", ".join([schema, *(f"{c} long" for c in _NAMES)]))
+
+
+def key_sets(count: int, missed: float = 0.02) -> np.ndarray:
+    """Sets of positions whose bytes together are a key, for ``count`` fingerprints: a pair at similarity 0.8 shares none of them
+    with probability ``missed``. Sets have as many positions as keep lists of unrelated fingerprints short."""
+    size, places = min(max(2, -(-(max(count, 1).bit_length() - 4) // 8)), 5), LONG // 8
+    shared = [(comb(places, t) * _NEAR**t * (1 - _NEAR) ** (places - t), comb(t, size) / comb(places, size)) for t in range(places + 1)]
+    number = 1
+    while sum(p * (1 - hit) ** number for p, hit in shared) > missed:
+        number += 1 + number // 20
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < number:  # permutations cut into sets: every position is used equally often
+        turn = rng.permutation(places)
+        out += [np.sort(turn[i : i + size]) for i in range(0, places - size + 1, size)]
+    return np.array(out[:number])
+
+
+def _near_edges(key: int, ids: np.ndarray, prints: np.ndarray):
+    """Edges (id, id) among the near fingerprints of one key: each with those of the ``_BESIDE`` next to it in an order of the key's
+    own (in short lists, with all), and as many more as connect them."""
+    order = np.argsort(_mixed(ids.view(np.uint64) ^ np.uint64(key)))
+    ids, prints = ids[order], prints[order]
+    for step in range(1, min(_BESIDE, len(ids) - 1) + 1):
+        near = np.bitwise_count(prints[step:] ^ prints[:-step]).sum(axis=1) <= FAR
+        for i in np.flatnonzero(near).tolist():
+            yield min(ids[i], ids[i + step]), max(ids[i], ids[i + step])
+    free = np.arange(len(ids)) if len(ids) > _BESIDE + 1 else np.empty(0, np.int64)
+    while len(free):  # a search from one fingerprint after the other; each is compared with those not yet reached
+        reached, free = [int(free[0])], free[1:]
+        while reached and len(free):
+            at = reached.pop()
+            near = np.bitwise_count(prints[free] ^ prints[at]).sum(axis=1) <= FAR
+            for j in free[near].tolist():
+                reached.append(j)
+                yield min(ids[at], ids[j]), max(ids[at], ids[j])
+            free = free[~near]
+
+
+def similar_links(nodes: DataFrame, count: int) -> DataFrame:
+    """Distinct edges (a, b), a < b, between ``nodes`` (node, f0, f1, ...) that share a key and differ in ``FAR`` bits or fewer: enough
+    to connect them under each key."""
+    sets = key_sets(count)
+
+    def post(batches):
+        for batch in batches:
+            prints = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            parts = np.ascontiguousarray(prints).view(np.uint8).astype(np.int64)
+            for k, chosen in enumerate(sets):
+                key = np.zeros(len(prints), np.int64)
+                for p in chosen:
+                    key = key << 8 | parts[:, p]
+                yield pa.record_batch([pa.array(key << 12 | k), *batch.columns[: 1 + len(_COMPARED)]], names=["key", "node", *_COMPARED])
+
+    def verify(batches):
+        held: list[pa.RecordBatch] = []
+
+        def edges(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray):
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                low, high = bounds[i], bounds[i + 1]
+                yield from _near_edges(int(keys[low]), ids[low:high], prints[low:high])
+
+        def pack(table: pa.Table):
+            columns = [c.to_numpy() for c in table.columns]
+            found = list(edges(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64))) if table.num_rows else []
+            a, b = zip(*found) if found else ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column(0)[-1].as_py()
+            if batch.column(0)[0].as_py() == last:
+                continue  # one run goes on through the whole batch
+            table = pa.Table.from_batches(held)
+            keys = table["key"].to_numpy()
+            stop = int(np.flatnonzero(keys != last)[-1]) + 1
+            yield pack(table.slice(0, stop))
+            held = table.slice(stop).to_batches()
+        if held:
+            yield pack(pa.Table.from_batches(held))
 
-    Rows with a null key stay."""
-    found = written(near_duplicates(docs.where(F.col(key).isNotNull()), key, text, width), "classes")
-    kept = docs.join(found.where(F.col(key) == F.col("component")).select(key).distinct(), key, "left_semi")
-    if not found.groupBy(key).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    kinds = "".join(f", {c} long" for c in _COMPARED)
+    posted = nodes.select("node", *_NAMES).mapInArrow(post, f"key long, node long{kinds}")
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) whose ``texts`` (node, text) have at least ``SIMILAR`` of their five-word shingles in common."""
+
+    def run(batches):
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                found = []
+                for t in part.column(1).to_pylist():
+                    found.append(shingles(t, hashes))
+                    if len(hashes) > 500_000:
+                        hashes.clear()
+                yield pa.record_batch([part.column(0), list_array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64), [len(x) for x in found], pa.int64())], names=["node", "shingles"])
+
+    sets = written(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("as", "bs"))
+    return edges.join(first, "a").join(second, "b").where(common >= SIMILAR * (F.size("as") + F.size("bs") - common)).select("a", "b")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, root, component) of every row: component is the smallest key reachable through links at similarity 0.8;
+    root tells components apart that hold different texts of one key."""
+    hashed = written(long_fingerprints(docs.select(text, F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__hash")), text), "prints")
+    node = F.xxhash64(*_NAMES).alias("node")
+    nodes = written(hashed.groupBy(*_NAMES).agg(F.min("__key").alias("first"), F.min(F.struct("__key", "__hash")).alias("row")).select(node, *_NAMES, "first", "row"), "nodes")
+    near = written(similar_links(nodes, nodes.count()), "near")
+    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "row.*"), "node")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    same = texts["k"].eqNullSafe(asked["__key"]) & (texts["h"] == asked["__hash"])
+    roots = components(verified(near, texts.join(asked, same).select("node", "text").dropDuplicates(["node"])))
+    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component"))
+    classes = named.join(smallest, "root").select("node", "root", "component")
+    rows = hashed.select(F.col("__key").alias(key), F.col("__hash").alias("text_hash"), node)
+    return rows.join(classes, "node").select(key, "text_hash", "root", "component")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near copies (five-word shingles, similarity 0.8): of each group the row with the smallest key stays.
+
+    If different texts of one group share that key, the one with the smallest hash stays; a repeated row stays once. Rows with a null key stay."""
+    known = docs.where(F.col(key).isNotNull())
+    found = written(similar(known, key, text), "classes")
+    chosen = found.where(F.col(key) == F.col("component")).groupBy(F.col(key).alias("__k"), "root").agg(F.min("text_hash").alias("__h"))
+    columns = [F.col(c) for c in docs.columns]
+    kept = known.withColumn("__th", F.xxhash64(F.col(text))).join(chosen, (F.col(key) == F.col("__k")) & (F.col("__th") == F.col("__h")), "left_semi")
+    if not found.groupBy(key, "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([key, "__th"])
+    return kept.select(*columns).unionByName(docs.where(F.col(key).isNull()).select(*columns))
 
 
 def op1(spark, docs: DataFrame) -> DataFrame:

@@ -118,7 +118,94 @@ def test_odd_rows_and_representatives(spark, make, odd):
     assert zero == {1, 2, 3} and {r.component_id for r in rows if r.doc_id in zero} == {1}
     assert next(r for r in rows if r.doc_id is None).component_id == 0
     docs = make(odd, extra=True)
-    kept = simhash.representatives(docs)
+    kept = simhash.representatives(docs)  # 0 and None have the same text, but None has no key
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 1, 4, None, 5, 6], key=str)
     assert simhash.op1(spark, make([])).count() == 0 and simhash.representatives(make([])).count() == 0
+
+
+def edited(n=60, seed=4):
+    """(texts, group of each): texts of 120 words, copies of them with one or two words replaced, and texts that share a passage of 40 words."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage, texts, group = [word() for _ in range(40)], [], []
+    for i in range(n):
+        base = [word() for _ in range(120)]
+        if i % 3 == 0:
+            base[:40] = passage
+        for k in range(1 + i % 4):
+            own = list(base)
+            for at in ([], [60], [30, 90], [45])[k]:
+                own[at] = word()
+            texts.append(" ".join(own))
+            group.append(i)
+    return texts, group
+
+
+def test_similar_texts_are_grouped_and_no_others(spark, make):
+    texts, group = edited()
+    first = {g: group.index(g) for g in group}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    pairs = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert all(group[i] == group[j] for i, j in pairs) and len(pairs) > 80
+    got = {r.doc_id: r.component for r in simhash.similar(make(texts, extra=True)).collect()}
+    assert got == {i: first[g] for i, g in enumerate(group)}
+    kept = {r.doc_id for r in simhash.representatives(make(texts, extra=True)).collect()}
+    assert kept == set(first.values())
+
+
+def test_edges_are_verified(spark):
+    words = [f"w{i}" for i in range(24)]  # 20 shingles
+    texts = [(1, " ".join(words)), (2, " ".join(words[2:])), (3, " ".join(words[4:])), (4, " ".join(words[5:])), (5, None)]
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4), (1, 5)], "a long, b long")
+    got = simhash.verified(edges, spark.createDataFrame(texts, "node long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 3), (2, 4)]  # 18, 16, 15 of 20, and 15 of 18
+
+
+def test_long_fingerprint_by_the_definition():
+    for text in ("", "one two", "a b c d e f", " ".join(f"w{i % 50}" for i in range(300))):
+        words = [int(xxhash.xxh64_intdigest(w.encode(), simhash.SEED)) for w in text.split()]
+        n, found = min(5, len(words)), set()
+        for i in range(len(words) - n + 1 if words else 0):
+            h = words[i]
+            for w in words[i + 1 : i + n]:
+                h = (h * int(simhash._MULTIPLIER) + w) % (1 << 64)
+            found.add(int(simhash._mixed(np.array([h], np.uint64))[0]))
+        assert sorted(found) == simhash.shingles(text, {}).tolist()
+        spread = [simhash._mixed(np.array([h], np.uint64) ^ (np.arange(1, 9, dtype=np.uint64) * simhash._MULTIPLIER)).tolist() for h in sorted(found)]
+        want = []
+        for w in range(8):
+            bits = [sum(x[w] >> b & 1 for x in spread) for b in range(64)]
+            want.append(sum(1 << b for b, n in enumerate(bits) if n * 2 > len(found) or (found and n * 2 == len(found) and spread[0][w] >> b & 1)))
+        assert simhash.long_fingerprint(simhash.shingles(text, {})).tolist() == want
+
+
+def test_keys_find_pairs_at_the_similarity():
+    """Of random pairs that differ as texts at similarity 0.8 do, the keys of every size find nearly all."""
+    rng = np.random.default_rng(6)
+    a = rng.random((2000, 512)) < 0.5
+    b = a ^ (rng.random((2000, 512)) < 0.1515)
+    x, y = (np.packbits(v, axis=1) for v in (a, b))
+    for count in (1000, 1 << 23, 1 << 31):
+        sets = simhash.key_sets(count)
+        assert sets.shape[1] == {1000: 2, 1 << 23: 3, 1 << 31: 4}[count]
+        assert ((x == y)[:, sets].all(axis=2).any(axis=1)).mean() > 0.97
+
+
+def test_runs_of_keys_across_batches(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 8)
+    rows = [(i, *(int(x) ^ (1 << (i % 40)) for x in base)) for i in range(500)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{i} long" for i in range(8)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        roots = {r.root for r in simhash.components(simhash.similar_links(nodes, 500)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(roots) == 1
+
+
+def test_repeated_ids_of_representatives(make):
+    rows = [(7, "a b c d e f g h", "en", "w", 1), (7, "quite another text of more than five words", "en", "w", 1), (7, "a b c d e f g h", "en", "w", 1), (9, "a b c d e f g h", "en", "w", 1), (None, "a b c d e f g h", None, None, None)]
+    kept = simhash.representatives(make(rows)).collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("7", "a b c"), ("7", "quite"), ("None", "a b c")]
