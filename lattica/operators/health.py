@@ -208,26 +208,52 @@ def secrets_in_lines(lines: DataFrame, placeholders: bool = True) -> DataFrame:
 # ---- lookups with a preference
 
 
+def _at_points(sites: DataFrame, found: DataFrame) -> DataFrame:
+    return sites.join(found, ["file_id", "line"]).select("site_id", "symbol_id")
+
+
 def enclosing(sites: DataFrame, functions: DataFrame) -> DataFrame:
-    """(site_id, symbol_id): the function (id, file_id, start_line) with the greatest start at or before a site's line."""
-    on = (sites["file_id"] == functions["file_id"]) & (functions["start_line"] <= sites["line"])
-    return sites.join(functions, on).groupBy("site_id").agg(F.max_by("id", F.struct("start_line", "id")).alias("symbol_id"))
+    """(site_id, symbol_id): the function (id, file_id, start_line) with the greatest start at or before a site's line.
+
+    Starts and the distinct lines of sites are put in one order for each file, and the last start is carried on: no pairs are made."""
+    points = sites.select("file_id", "line").distinct()
+    starts = functions.groupBy("file_id", F.col("start_line").alias("line")).agg(F.max("id").alias("id"))
+    rows = starts.select("file_id", "line", "id", F.lit(0).alias("point")).unionByName(points.select("file_id", "line", F.lit(None).cast(starts.schema["id"].dataType).alias("id"), F.lit(1).alias("point")))
+    before = Window.partitionBy("file_id").orderBy("line", "point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("symbol_id", F.last("id", ignorenulls=True).over(before)).where("point = 1 and symbol_id is not null")
+    return _at_points(sites, found.select("file_id", "line", "symbol_id"))
 
 
 def innermost(sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """(site_id, symbol_id): the shortest span (id, file_id, start_line, end_line) around a site's line."""
-    on = (sites["file_id"] == spans["file_id"]) & sites["line"].between(spans["start_line"], spans["end_line"])
-    return sites.join(spans, on).groupBy("site_id").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), "id")).alias("symbol_id"))
+    """(site_id, symbol_id): the shortest span (id, file_id, start_line, end_line) around a site's line.
 
+    Spans meet the distinct lines of their file, not the sites."""
+    points = sites.select("file_id", "line").distinct()
+    on = (points["file_id"] == spans["file_id"]) & points["line"].between(spans["start_line"], spans["end_line"])
+    found = points.join(spans.drop("line"), on).groupBy(points["file_id"], points["line"]).agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), "id")).alias("symbol_id"))
+    return _at_points(sites, found)
 
-def match_routes(routes: DataFrame, calls: DataFrame, strict: bool = False) -> DataFrame:
-    """(route_id, call_id): routes (route_id, method, path) that serve calls (call_id, method, path); paths are normalised.
 
-    Only paths of as many segments meet."""
-    r = routes.select("route_id", F.col("method").alias("rm"), F.col("path").alias("rp"), F.size(F.split("path", "/")).alias("n"))
-    c = calls.select("call_id", F.col("method").alias("cm"), F.col("path").alias("cp"), F.size(F.split("path", "/")).alias("n"))
+def _route_keys(path: Column, literal: str, parameter: str) -> Column:
+    """Keys under which a path meets all that may serve it: one for each way its first three segments can be met.
+
+    A literal segment is met by an equal one or by a parameter, a parameter by a literal or by a parameter; each side names these ways
+    so that every pair has exactly one key in common."""
+    parts = F.split(path, "/")
+    keys = F.array(F.size(parts).cast("string"))
+    for k in (1, 2, 3):
+        part = F.get(parts, F.lit(k))
+        ways = F.when(part == "{}", F.array(F.lit(parameter), F.lit("both"))).otherwise(F.array(F.concat(F.lit("="), F.coalesce(part, F.lit(""))), F.lit(literal)))
+        keys = F.flatten(F.transform(keys, lambda key, ways=ways: F.transform(ways, lambda way: F.concat(key, F.lit("/"), way))))
+    return keys
+
+
+def match_routes(routes: DataFrame, calls: DataFrame, strict: bool = False) -> DataFrame:
+    """(route_id, call_id): routes (route_id, method, path) that serve calls (call_id, method, path); paths are normalised."""
+    r = routes.select("route_id", F.col("method").alias("rm"), F.col("path").alias("rp"), F.explode(_route_keys(F.col("path"), "literal route", "literal call")).alias("key"))
+    c = calls.select("call_id", F.col("method").alias("cm"), F.col("path").alias("cp"), F.explode(_route_keys(F.col("path"), "literal call", "literal route")).alias("key"))
     method = F.col("rm") == F.col("cm") if strict else F.col("rm").isNull() | F.col("cm").isNull() | (F.col("rm") == F.col("cm"))
-    return r.join(c, "n").where(method & same_route(F.col("rp"), F.col("cp"))).select("route_id", "call_id")
+    return r.join(c, "key").where(method & same_route(F.col("rp"), F.col("cp"))).select("route_id", "call_id")
 
 
 def best_by_name(refs: DataFrame, symbols: DataFrame) -> DataFrame:

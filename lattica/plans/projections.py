@@ -62,10 +62,6 @@ class Data:
     def inner_edges(self) -> DataFrame:
         return self.edges.where(F.col("source_id") < SUPPLIERS)
 
-    @cached_property
-    def sparse(self) -> DataFrame:
-        return self.inner_edges.where((F.col("source_id") * 7919 + F.col("target_id")) % 20 == 0)
-
     @cached_property
     def commits(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").cast("string").alias("sha"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_orderpriority").alias("subject"), F.lit("").alias("body"), F.col("o_custkey").cast("string").alias("author"))
@@ -104,7 +100,6 @@ typed AS (SELECT source_id * 1000000 + target_id AS id, source_id, target_id, ([
 edges AS (SELECT id, source_id, target_id, relationship_type, CAST(CASE relationship_type WHEN 'CALLS' THEN 0.7 WHEN 'IMPORTS' THEN 0.9 ELSE 0.5 END AS DOUBLE) AS weight, CAST(confidence AS DOUBLE) AS confidence,
   CASE WHEN relationship_type IN ('REFERENCES', 'USES') THEN 'AMBIGUOUS' WHEN confidence >= 1 THEN 'EXTRACTED' ELSE 'INFERRED' END AS evidence FROM typed),
 inner_edges AS (SELECT * FROM edges WHERE source_id < {SUPPLIERS}),
-sparse AS (SELECT * FROM inner_edges WHERE (source_id * 7919 + target_id) % 20 = 0),
 commits AS (SELECT CAST(o_orderkey AS VARCHAR) AS sha, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS subject, CAST(o_custkey AS VARCHAR) AS author FROM orders),
 commit_files AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sha, f.path FROM lineitem JOIN files f ON f.id = l_partkey),
 invocations AS (SELECT event_id AS id, user_id AS task_id, event_type AS command, ts AS timestamp FROM events),

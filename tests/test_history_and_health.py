@@ -1,6 +1,7 @@
 """History, search and code-health operators on small hand-made inputs."""
 
 import datetime as dt
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,18 @@ def test_manifests(spark):
     rows = spark.createDataFrame([("package.json", '{"dependencies": {"express": "^4"}, "devDependencies": {"vitest": "1"}}'), ("requirements.txt", "flask==2.0\n# no\nrequests>=2\n"), ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.2.3\n)\n"), ("Cargo.toml", "[package]\nname = \"x\"\n[dependencies]\nserde = \"1\"\n")], "path string, content string")
     assert {(r.ecosystem, r.name) for r in reports.dependencies(rows).collect()} >= {("npm", "express"), ("npm", "vitest"), ("go", "github.com/a/b")}
     assert {"flask", "requests", "serde"} <= {r.name for r in reports.dependencies(rows).collect()}
+
+
+def test_routes_meet_calls_under_any_parameters(spark):
+    """Against all pairs: literals and parameters on both sides, paths of different lengths."""
+    segments = ["a", "b", "{}"]
+    every = ["/" + "/".join(x) for n in (1, 2, 4) for x in itertools.product(segments, repeat=n)] + ["/"]
+    routes = spark.createDataFrame([(i, "GET" if i % 3 else None, p) for i, p in enumerate(every)], "route_id long, method string, path string")
+    calls = spark.createDataFrame([(i, "POST" if i % 2 else "GET", p) for i, p in enumerate(every)], "call_id long, method string, path string")
+
+    def same(a, b):
+        a, b = a.split("/"), b.split("/")
+        return len(a) == len(b) and all(x == y or "{}" in (x, y) for x, y in zip(a, b))
+
+    want = sorted((i, j) for i, a in enumerate(every) for j, b in enumerate(every) if same(a, b) and (i % 3 == 0 or j % 2 == 0))
+    assert sorted(map(tuple, health.match_routes(routes, calls).collect())) == want
