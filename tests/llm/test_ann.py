@@ -76,3 +76,33 @@ def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 40))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(ann.rotate(x, 1) @ ann.rotate(x, 1).T, x @ x.T)
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """A third of all vectors in one cell: the same result from many blocks of candidates and of queries."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 16))
+    rows = [(i, [float(c) for c in v], 0, "x") for i, v in enumerate(x)]
+    want = sorted(map(tuple, ann.op2(spark.createDataFrame(rows, SCHEMA)).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    assert sorted(map(tuple, ann.op2(spark.createDataFrame(rows, SCHEMA)).collect())) == want
+
+
+def test_dimensions_are_searched_apart(spark):
+    rows = [(i, [1.0, float(i)], 0, None) for i in range(1, 30)] + [(40 + i, [1.0, float(i), 2.0], 0, None) for i in range(30)]
+    got = by_query(ann.op2(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert sorted(got) == [20, 40, 60]
+    assert all(i < 40 for i, _ in got[20]) and all(i >= 40 for q in (40, 60) for i, _ in got[q]) and len(got[20]) == 20
+    assert [i for i, _ in got[20]][:3] == [29, 28, 27]
+
+
+def test_cells_grow_with_the_vectors():
+    sizes = {n: float(np.prod([2 * a for a in ann.axes(n, 64)])) for n in (100, 10_000, 1_000_000, 1_000_000_000)}
+    assert all(n / 12 <= cells * 1.01 and cells <= max(n / 3, 4) for n, cells in sizes.items())
+    x = np.random.default_rng(1).normal(size=(50, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for parts in ([64], [64, 8], [64, 64, 4]):
+        found = ann.probes(x, 0, parts, 40)
+        assert (found[:, 0] == ann.cells(x, 0, parts)).all() and all(len(set(r)) == len(r) for r in found.tolist())
