@@ -70,6 +70,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, tolerance
     return ranks.select("node_id", "pagerank")
 
 
+def top_ranks(ranks: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` (1 to 50) nodes of the highest ``ranks`` (node_id, pagerank), ties to the smaller id."""
+    return ranks.orderBy(F.desc("pagerank"), "node_id").limit(min(max(limit, 1), 50))
+
+
+def file_ranks(ranks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, pagerank): the sum of the ``ranks`` of each file's symbols."""
+    members = symbols.select(F.col("id").alias("node_id"), "file_id")
+    return members.join(ranks, "node_id").groupBy("file_id").agg(F.sum("pagerank").alias("pagerank"))
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 400) -> DataFrame:
     """(node_id, betweenness): Brandes over unweighted directed edges, from all nodes or an even sample of about ``sources``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.paths import is_meta_file, is_protected, is_test, layer_of, same_route, stem, test_target
 from lattica.functions.text import PLACEHOLDER, SECRETS, masked
 from lattica.schema import DEFINITIONS
+from lattica.scratch import small
 
 
 def enriched(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,16 +62,22 @@ def unused_dependencies(deps: DataFrame, symbols: DataFrame, edges: DataFrame, c
     wanted = deps.select("ecosystem", "name", normal.alias("term")).distinct()
     in_symbols = _named(symbols, wanted)
     imported = edges.where("relationship_type = 'IMPORTS' and evidence = 'EXTRACTED'").select(F.col("target_id").alias("id")).distinct().join(symbols.select("id", F.col("name").alias("symbol")), "id")
-    in_imports = imported.join(F.broadcast(wanted), F.col("symbol").contains(F.col("term"))).select("ecosystem", "name").distinct()
+    in_imports = imported.join(small(wanted), F.col("symbol").contains(F.col("term"))).select("ecosystem", "name").distinct()
     border = F.concat(F.lit("(?s).*(^|[^A-Za-z0-9_-])\\Q"), F.col("term"), F.lit("\\E([^A-Za-z0-9_-]|$).*"))
-    in_texts = contents.join(F.broadcast(wanted), F.col("content").contains(F.col("term")) & F.col("content").rlike(border)).select("ecosystem", "name").distinct()
+    in_texts = contents.join(small(wanted), F.col("content").contains(F.col("term")) & F.regexp_like("content", border)).select("ecosystem", "name").distinct()
     found = in_symbols.union(in_imports).union(in_texts).distinct().withColumn("used", F.lit(True))
     return deps.select("ecosystem", "name").distinct().join(found, ["ecosystem", "name"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
 
 
+def dependency_counts(found: DataFrame) -> DataFrame:
+    """(ecosystem, total, used, unused) of the dependencies ``found`` by :func:`unused_dependencies`."""
+    used = F.count_if("used")
+    return found.groupBy("ecosystem").agg(F.count("*").alias("total"), used.alias("used"), (F.count("*") - used).alias("unused"))
+
+
 def _named(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     text = symbols.select(F.concat_ws(" ", "name", "signature").alias("text"))
-    return text.join(F.broadcast(wanted), F.col("text").contains(F.col("term"))).select("ecosystem", "name").distinct()
+    return text.join(small(wanted), F.col("text").contains(F.col("term"))).select("ecosystem", "name").distinct()
 
 
 # ---- architecture, differences, risk
@@ -239,12 +246,15 @@ def _route_keys(path: Column, literal: str, parameter: str) -> Column:
 
     A literal segment is met by an equal one or by a parameter, a parameter by a literal or by a parameter; each side names these ways
     so that every pair has exactly one key in common."""
+    def extended(keys: Column, ways: Column) -> Column:
+        return F.flatten(F.transform(keys, lambda key: F.transform(ways, lambda way: F.concat(key, F.lit("/"), way))))
+
     parts = F.split(path, "/")
     keys = F.array(F.size(parts).cast("string"))
     for k in (1, 2, 3):
         part = F.get(parts, F.lit(k))
         ways = F.when(part == "{}", F.array(F.lit(parameter), F.lit("both"))).otherwise(F.array(F.concat(F.lit("="), F.coalesce(part, F.lit(""))), F.lit(literal)))
-        keys = F.flatten(F.transform(keys, lambda key, ways=ways: F.transform(ways, lambda way: F.concat(key, F.lit("/"), way))))
+        keys = extended(keys, ways)
     return keys
 
 
@@ -285,6 +295,11 @@ def through_barrels(imports: DataFrame, exports: DataFrame, hops: int = 3) -> Da
 # ---- usage
 
 
+def recent_tasks(tasks: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` newest of ``tasks`` (id, description, created_at), ties to the larger id."""
+    return tasks.select("id", "description", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
 def usage(invocations: DataFrame, tasks: DataFrame, task_context: DataFrame, now: Column) -> DataFrame:
     """One row: invocations, first and last, of the last seven days, tasks, mean symbols per task."""
     week = F.col("timestamp") >= now - F.expr("interval 7 days")

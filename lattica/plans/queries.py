@@ -517,6 +517,36 @@ def pagerank_k(d):
     return graph.pagerank(d.files.select("id"), d.inner_edges, iterations=3, tolerance=0.0).select("node_id", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query(sql("SELECT node_id, round(r, 9) AS pagerank FROM (SELECT id AS node_id, r FROM r3 ORDER BY round(r, 12) DESC, id LIMIT 20)", _PR))
+def pagerank_top(d):
+    ranks = graph.pagerank(d.files.select("id"), d.inner_edges, iterations=3, tolerance=0.0)
+    return graph.top_ranks(ranks.withColumn("pagerank", F.round("pagerank", 12))).select("node_id", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query(sql("SELECT p_size AS file_id, round(sum(r), 9) AS pagerank FROM r3 JOIN part ON p_partkey = r3.id GROUP BY 1", _PR))
+def file_pagerank(d):
+    """Parts are the symbols, and those of a size one file."""
+    ranks = graph.pagerank(d.files.select("id"), d.inner_edges, iterations=3, tolerance=0.0)
+    return graph.file_ranks(ranks, d.files.select("id", F.col("size").cast("int").alias("file_id"))).select("file_id", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query(sql("SELECT id, description, created_at FROM tasks ORDER BY created_at DESC, id DESC LIMIT 20"))
+def recent_tasks(d):
+    return health.recent_tasks(d.tasks)
+
+
+_WANTED = "wanted AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'npm' ELSE 'python' END AS ecosystem, CASE WHEN p_size % 3 = 0 THEN 'absent' || CAST(p_size AS VARCHAR) ELSE split_part(p_name, ' ', 1) END AS name FROM part)"
+
+
+@query(sql("""SELECT ecosystem, count(*) AS total, count(*) FILTER (WHERE used) AS used, count(*) FILTER (WHERE NOT used) AS unused FROM (
+  SELECT w.*, EXISTS (SELECT 1 FROM symbols s WHERE contains(s.name || ' ' || s.signature, CASE WHEN ecosystem = 'python' THEN lower(replace(w.name, '-', '_')) ELSE w.name END)) AS used FROM wanted w) z GROUP BY 1""", _WANTED))
+def dependency_counts(d):
+    part = d.table("part")
+    deps = part.select(F.when(F.col("p_size") % 2 == 0, "npm").otherwise("python").alias("ecosystem"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("absent"), F.col("p_size").cast("string"))).otherwise(F.substring_index("p_name", " ", 1)).alias("name")).distinct()
+    none = d.spark.createDataFrame([], "content string")
+    return health.dependency_counts(health.unused_dependencies(deps, d.symbols, d.edges.where("1 = 0"), none))
+
+
 @query()
 def pagerank(d):
     return graph.pagerank(d.files.select("id"), d.inner_edges).select("node_id", F.round("pagerank", 9).alias("pagerank"))
