@@ -40,6 +40,7 @@ MARGIN = 2.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _CHARS = 1_000_000
+_PAIRS = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -56,14 +57,20 @@ def sample(labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> DataFram
 def bigrams(texts: DataFrame) -> DataFrame:
     """(h, w, t, o): how often ``w`` follows ``h`` ('' at the start) in the toxic and in the ordinary ones of ``texts`` (text, toxic)."""
 
+    def pack(found: dict[int, Counter]):
+        rows = [(h, w, n if toxic else 0, 0 if toxic else n) for toxic, counted in found.items() for (h, w), n in counted.items()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], [], []), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["h", "w", "t", "o"])
+
     def run(batches):
+        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = words(text)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = words(text.as_py())
                 found[toxic].update(zip(["", *own], own))
-            rows = [(h, w, n if toxic else 0, 0 if toxic else n) for toxic, counted in found.items() for (h, w), n in counted.items()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], [], []), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["h", "w", "t", "o"])
+                if sum(map(len, found.values())) > _PAIRS:
+                    yield pack(found)
+                    found = {0: Counter(), 1: Counter()}
+        yield pack(found)
 
     once = texts.withColumn("__hash", F.sha2(F.col("text"), 256)).dropDuplicates(["__hash", "toxic"])
     made = once.select("text", F.col("toxic").cast("int")).mapInArrow(run, "h string, w string, t long, o long")
