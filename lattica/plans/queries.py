@@ -568,9 +568,11 @@ def reach_6hop(d):
     return graph.reaching(d.inner_edges, d.spark.createDataFrame([(5,)], "id long"))
 
 
-_BLAST = """near AS (SELECT target_id AS id, 0 AS side, id AS e FROM inner_edges WHERE source_id = 7 UNION ALL SELECT source_id, 1, id FROM inner_edges WHERE target_id = 7),
+_BLAST = """near AS (SELECT target_id AS id, 0 AS side, id AS e FROM inner_edges WHERE source_id = 7 QUALIFY row_number() OVER (ORDER BY inner_edges.id) <= 50
+  UNION ALL SELECT source_id, 1, id FROM inner_edges WHERE target_id = 7 QUALIFY row_number() OVER (ORDER BY inner_edges.id) <= 50),
 direct AS (SELECT id, row_number() OVER (ORDER BY min(side * CAST(1000000000000000 AS BIGINT) + e)) AS n FROM near GROUP BY id),
-far AS (SELECT s.target_id AS id, d.n, 0 AS side, s.id AS e, d.id AS via FROM inner_edges s JOIN direct d ON d.id = s.source_id WHERE d.n <= 20 UNION ALL SELECT s.source_id, d.n, 1, s.id, d.id FROM inner_edges s JOIN direct d ON d.id = s.target_id WHERE d.n <= 20),
+far AS (SELECT s.target_id AS id, d.n, 0 AS side, s.id AS e, d.id AS via FROM inner_edges s JOIN direct d ON d.id = s.source_id WHERE d.n <= 20 QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY s.id) <= 20
+  UNION ALL SELECT s.source_id, d.n, 1, s.id, d.id FROM inner_edges s JOIN direct d ON d.id = s.target_id WHERE d.n <= 20 QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY s.id) <= 20),
 picked AS (SELECT id, n, side, e, via FROM far WHERE id <> 7 AND id NOT IN (SELECT id FROM direct) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n, side, e) = 1 ORDER BY n, side, e, id LIMIT 15)"""
 
 
