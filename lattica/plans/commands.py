@@ -92,7 +92,14 @@ def _edges(rows: DataFrame, found: DataFrame, client: DataFrame, files: DataFram
     file_symbol = symbols.where("type = 'file'").select("file_id", F.col("id").alias("file_symbol"))
     caller = sites.join(file_symbol, "file_id").join(around.withColumnRenamed("site_id", "call_id"), "call_id", "left").select("call_id", F.coalesce("symbol_id", "file_symbol").alias("source_id"))
     api = sure.join(caller, "call_id").select("source_id", F.col("route_id").alias("target_id"), F.lit("CALLS_API").alias("relationship_type"), F.lit(0.8).alias("weight"), "confidence", "evidence")
-    every = linked.unionByName(api)
+    # a query of a model belongs to the function around it, else to its file; the model's name is matched exactly, else without case
+    asked = cut(found.where("kind = 'query'").select("path", "name", "line").join(files.select("path", F.col("id").alias("file_id")), "path").withColumn("site_id", F.monotonically_increasing_id()), "queries")
+    inside = health.enclosing(asked.select("site_id", "file_id", "line"), symbols.where(F.col("type").isin("function", "method", "component")).select("id", "file_id", "start_line"))
+    models = symbols.where("type = 'model'").select(F.col("id").alias("target_id"), F.col("name").alias("model"))
+    named = asked.join(models, F.lower("name") == F.lower("model")).groupBy("site_id", "file_id").agg(F.min_by("target_id", F.struct(F.col("name") != F.col("model"), "target_id")).alias("target_id"))
+    readers = named.join(file_symbol, "file_id").join(inside, "site_id", "left").withColumn("source_id", F.coalesce("symbol_id", "file_symbol")).where("source_id <> target_id")
+    queried = readers.select("source_id", "target_id", F.lit("QUERIES").alias("relationship_type"), F.lit(0.8).alias("weight"), F.lit(0.9).alias("confidence"), F.lit("INFERRED").alias("evidence"))
+    every = linked.unionByName(api).unionByName(queried)
     best = F.max_by(F.struct("weight", "confidence", "evidence"), F.struct("confidence", "evidence"))
     return every.groupBy("source_id", "target_id", "relationship_type").agg(best.alias("b")).select("source_id", "target_id", "relationship_type", "b.*")
 

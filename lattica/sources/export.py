@@ -65,7 +65,7 @@ def summary(sections: list[tuple[str, DataFrame]], rows: int = 20, total: int =
     for n, (title, frame) in enumerate(sections):
         spark = frame.sparkSession
         head = spark.createDataFrame([(n, 0, f"## {title}")], "section int, place int, line string")
-        body = frame.limit(rows).select(F.lit(n).alias("section"), F.row_number().over(Window.orderBy("line")).alias("place"), F.concat(F.lit("- "), F.col("line")).alias("line"))
+        body = frame.orderBy("line").limit(rows).select(F.lit(n).alias("section"), F.row_number().over(Window.orderBy("line")).alias("place"), F.concat(F.lit("- "), F.col("line")).alias("line"))
         part = head.unionByName(body)
         out = part if out is None else out.unionByName(part)
     return out.orderBy("section", "place").limit(total)

@@ -117,3 +117,19 @@ def test_analysed(scanned):
     nodes = index.symbols.count()
     assert full.node_metrics.count() == nodes and full.clusters.count() == nodes
     assert abs(full.node_metrics.agg(F.sum("pagerank")).first()[0] - 1) < 1e-6
+
+
+def test_queries_of_models(spark, tmp_path):
+    put(
+        tmp_path,
+        {
+            "db/schema.ts": "import { pgTable, text } from 'drizzle-orm/pg-core';\nexport const invoices = pgTable('invoices', { id: text('id') });\n",
+            "src/list.ts": "import { invoices } from '../db/schema';\nexport function list(db) {\n  return db.select().from(invoices);\n}\n",
+            "src/top.ts": "db.select().from(Invoices);\n",
+        },
+    )
+    index, _ = commands.scan(Index(spark), read_files(spark, str(tmp_path)))
+    models = index.symbols.where("type = 'model'").select(F.col("id").alias("target_id"), F.col("name").alias("model"))
+    rows = index.relationships.where("relationship_type = 'QUERIES'").join(models, "target_id").join(index.symbols.select(F.col("id").alias("source_id"), "name", "type"), "source_id").collect()
+    assert {(r.model, r.type) for r in rows} == {("invoices", "function"), ("invoices", "file")}
+    assert all((r.weight, r.confidence, r.evidence) == (0.8, 0.9, "INFERRED") for r in rows) and len(rows) == 2
