@@ -25,7 +25,7 @@ def test_without_dropout_as_the_library():
             assert plain.encode(t).tolist() == (library.encode(t) if t else [])
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.text(max_size=60), st.integers(0, 5))
 def test_lossless(text, key):
     reader = test_lossless.__dict__.setdefault("reader", pieces.Pieces())
@@ -59,13 +59,13 @@ def skipped_lists(skipped):
 
 
 def test_agenda_by_the_definition(own):
-    for n, word in enumerate(WORDS * 20):
+    for n, word in enumerate(WORDS * 4):
         key = pieces.document_key(n)
         assert own.alone(word, key) == own.named(slow(own, word, key))
 
 
 def test_all_at_once_as_each_alone(own):
-    chunks = [w for n in range(40) for w in (*WORDS, f"▁word{n}", f"▁{'inter' * (n % 9)}nation")]
+    chunks = [w for n in range(12) for w in (*WORDS, f"▁word{n}", f"▁{'inter' * (n % 9)}nation")]
     keys = np.array([pieces.document_key(n) for n in range(len(chunks))], np.uint64)
     for _ in range(2):  # with nothing known, and with what is known
         ids, sizes = own.occurrences(chunks, keys)
