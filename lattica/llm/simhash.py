@@ -8,14 +8,18 @@ have a tally of five or more. No pairs with smaller tallies are ever made, and n
 three bytes are free, so members are verified there, and only the edges of a spanning forest leave it.
 
 :func:`near_duplicates` takes fingerprints of 64 bits at three differing bits. :func:`similar` is for texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more: a pair at 0.8 differs in 15 % of its bits, which needs longer fingerprints.
-There ``LONG`` bits stand for the set, in 64 positional bytes. So far apart no number of equal bytes is certain, and the least
-tally is that of chance: at 0.8 a pair shares 17 bytes on average, and of all pairs of bytes as many are made keys that one is
-shared with 98 % probability (99.9 % at 0.85). With the number of texts the keys grow from two bytes to three and four, so that the lists
-under a key stay short. Fingerprints under a key that differ in ``FAR`` of their first 256 bits or fewer (0.8 and three standard deviations)
-are candidates. In a long list they are not paired with all others: a key gives each its neighbours in an order of the key's own and
-the edges of a search that connect all of them, so that a text has many partners over its keys. Every edge is verified
-by the exact similarity of the two sets.
+shingles have a Jaccard similarity of 0.8 or more, and finds every such link: it puts the shingles of a set in one order for all, and of
+two similar sets of sizes n and m the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 share one at least (prefix filtering). These
+prefixes are the index, a fifth of all shingles. Any order gives the same links; frequent shingles of a sample come last, so that lists
+under a shingle stay short. Members of a list are candidates if their sizes and the places of the shingle leave room for 0.8. Each set has
+marks, the parities of its shingles by hash, of about one bit a shingle; no two sets differ in fewer shingles than in marks, so marks too far
+apart rule a candidate out before texts are read. All others are verified by the exact similarity. Only components are wanted, so in long lists neighbours are verified first, and then
+all candidates that are not yet in one component.
+
+:func:`similar_links` is an index of long fingerprints without texts: ``LONG`` bits stand for the set, in 64 positional bytes. A pair at 0.8
+shares 17 bytes on average, and of all pairs of bytes as many are made keys that one is shared with 98 % probability (99.9 % at
+0.85). With the number of texts the keys grow from two bytes to three and four. Fingerprints under a key that differ in ``FAR`` of their first
+256 bits or fewer (0.8 and three standard deviations) are its pairs. No query uses it, as it misses links.
 
 Edge cases: a null or wordless text has fingerprint zero, linked like any other; texts of one or two words have one
 shingle, the whole word sequence; equal fingerprints (exact copies, repeated rows) are one node of the index, so a group
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import forget, list_array, written
+from lattica.llm.common import forget, list_array, release, written
 
 SEED = 42
 MAX_BITS = 3
@@ -204,7 +208,6 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _WORDS = LONG // 64
 _NAMES = [f"f{i}" for i in range(_WORDS)]
 _COMPARED = _NAMES[:4]
-_BESIDE = 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -275,30 +278,15 @@ def key_sets(count: int, missed: float = 0.02) -> np.ndarray:
     return np.array(out[:number])
 
 
-def _near_edges(key: int, ids: np.ndarray, prints: np.ndarray):
-    """Edges (id, id) among the near fingerprints of one key: each with those of the ``_BESIDE`` next to it in an order of the key's
-    own (in short lists, with all), and as many more as connect them."""
-    order = np.argsort(_mixed(ids.view(np.uint64) ^ np.uint64(key)))
-    ids, prints = ids[order], prints[order]
-    for step in range(1, min(_BESIDE, len(ids) - 1) + 1):
-        near = np.bitwise_count(prints[step:] ^ prints[:-step]).sum(axis=1) <= FAR
-        for i in np.flatnonzero(near).tolist():
-            yield min(ids[i], ids[i + step]), max(ids[i], ids[i + step])
-    free = np.arange(len(ids)) if len(ids) > _BESIDE + 1 else np.empty(0, np.int64)
-    while len(free):  # a search from one fingerprint after the other; each is compared with those not yet reached
-        reached, free = [int(free[0])], free[1:]
-        while reached and len(free):
-            at = reached.pop()
-            near = np.bitwise_count(prints[free] ^ prints[at]).sum(axis=1) <= FAR
-            for j in free[near].tolist():
-                reached.append(j)
-                yield min(ids[at], ids[j]), max(ids[at], ids[j])
-            free = free[~near]
+def _near_edges(ids: np.ndarray, prints: np.ndarray):
+    """Edges (id, id) of all near fingerprints of one key."""
+    for i in range(len(ids) - 1):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1) <= FAR).tolist():
+            yield min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])
 
 
 def similar_links(nodes: DataFrame, count: int) -> DataFrame:
-    """Distinct edges (a, b), a < b, between ``nodes`` (node, f0, f1, ...) that share a key and differ in ``FAR`` bits or fewer: enough
-    to connect them under each key."""
+    """Distinct edges (a, b), a < b, between ``nodes`` (node, f0, f1, ...) that share a key and differ in ``FAR`` bits or fewer."""
     sets = key_sets(count)
 
     def post(batches):
@@ -318,7 +306,7 @@ def similar_links(nodes: DataFrame, count: int) -> DataFrame:
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 low, high = bounds[i], bounds[i + 1]
-                yield from _near_edges(int(keys[low]), ids[low:high], prints[low:high])
+                yield from _near_edges(ids[low:high], prints[low:high])
 
         def pack(table: pa.Table):
             columns = [c.to_numpy() for c in table.columns]
@@ -346,42 +334,271 @@ def similar_links(nodes: DataFrame, count: int) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
-def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``edges`` (a, b) whose ``texts`` (node, text) have at least ``SIMILAR`` of their five-word shingles in common."""
+# ---- links at a similarity of 0.8 through prefixes
+
+SAMPLED = 5_000  # documents at least, and one in ``ONE_IN``, tell the frequent shingles
+ONE_IN = 20
+FREQUENT = 200_000  # that are put in order; the order decides how long lists are, not what is found
+REACHES = (16, 128, None)  # neighbours in a list that are verified in turn; None: all
+
+
+def _forgetting(hashes: dict) -> dict:
+    if len(hashes) > 500_000:
+        hashes.clear()
+    return hashes
+
+
+def frequent(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): what three or more of a sample of different texts share, by shingle."""
+
+    def run(batches):
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.record_batch([pa.array(shingles(t.as_py(), _forgetting(hashes)).view(np.int64))], names=["shingle"])
+
+    one_in = min(ONE_IN, max(1, docs.count() // SAMPLED))
+    sampled = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where(F.pmod("h", F.lit(one_in)) == 0).dropDuplicates(["h"])
+    counted = sampled.select("t").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    found, counts = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def prefix(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's shingles in the order of (count among the frequent, shingle): any two similar sets share one of theirs."""
+    known, counts = often
+    first = len(found) - -(-4 * len(found) // 5) + 1 if len(found) else 0
+    if not len(known):
+        return found[:first]
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")[:first]]
+
+
+def marks(found: np.ndarray) -> bytes:
+    """A bit for each shingle's low hash bits, flipped by every shingle that has them; the halves of longer marks add up to shorter ones."""
+    bits = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many shingles the sets of two marks differ at least."""
+    if len(x) < len(y):
+        x, y = y, x
+    value, size = int.from_bytes(x, "little"), len(x)
+    while size > len(y):
+        size //= 2
+        value = value >> 8 * size ^ value & (1 << 8 * size) - 1
+    return (value ^ int.from_bytes(y, "little")).bit_count()
+
+
+def prefixes(docs: DataFrame, often, text: str = "text") -> DataFrame:
+    """``docs`` without ``text`` but with ``node`` (hash of the set of shingles), ``size``, ``marks`` and ``prefix``."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                found = [shingles(t, _forgetting(hashes)) for t in part.column(0).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
+                firsts = [prefix(x, shared.value) for x in found]
+                lists = list_array(np.concatenate([np.empty(0, np.uint64), *firsts]).view(np.int64), [len(x) for x in firsts], pa.int64())
+                yield pa.record_batch([*part.columns[1:], pa.array(node), pa.array([len(x) for x in found], pa.int32()), pa.array([marks(x) for x in found], pa.binary()), lists], names=[*batch.schema.names[1:], "node", "size", "marks", "prefix"])
+
+    keep = [c for c in docs.columns if c != text]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(run, f"{schema}node long, size int, marks binary, prefix array<long>")
+
+
+def _runs(batches):
+    """Columns of whole runs of equal values in the first column, many runs at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column(0)[-1].as_py()
+        if batch.column(0)[0].as_py() == last and len(held) > 1:
+            continue  # one run goes on through the whole batch
+        table = pa.Table.from_batches(held)
+        other = np.flatnonzero(table.column(0).to_numpy() != last)
+        stop = int(other[-1]) + 1 if len(other) else 0
+        if stop:
+            yield [c.to_numpy() for c in table.slice(0, stop).columns]
+        held = table.slice(stop).combine_chunks().to_batches()
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
+def _room(sizes, places, others, their_places) -> np.ndarray:
+    """Whether two sets can be similar that have their first common shingle at these places: what follows it has to do."""
+    return 9 * np.minimum(sizes - places, others - their_places) >= 4 * (sizes + others)
+
+
+def _beside(keys, nodes, sizes, places, labels, low: int, high: int):
+    """Pairs of places at distances from ``low`` to ``high`` in one list that can be similar and have not one label."""
+    for step in range(low, high + 1):
+        x, y = slice(None, -step), slice(step, None)
+        near = keys[x] == keys[y]
+        if not near.any():
+            return
+        at = np.flatnonzero(near & (labels[x] != labels[y]) & _room(sizes[x], places[x], sizes[y], places[y]))
+        if len(at):
+            yield at, at + step
+
+
+def _across(keys, nodes, sizes, places, labels, low: int):
+    """The same at distances of ``low`` and more, whatever the length of a list: each that is not of its list's largest label with all others."""
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if stop - start <= low:
+            continue
+        own, size, place = labels[start:stop], sizes[start:stop], places[start:stop]
+        found, counts = np.unique(own, return_counts=True)
+        largest, turn = own == found[counts.argmax()], np.arange(stop - start)
+        for i in np.flatnonzero(~largest).tolist():
+            at = np.flatnonzero((own != own[i]) & (largest | (turn > i)) & (np.abs(turn - i) >= low) & _room(size[i], place[i], size, place))
+            if len(at):
+                yield np.full(len(at), start + i), start + at
+
+
+def _pairs(found, nodes: np.ndarray):
+    """Batches of the distinct pairs of nodes, the smaller first."""
+    kept, count = [], 0
+
+    def pack():
+        both = np.concatenate([np.empty((2, 0), np.int64), *kept], axis=1)
+        both = np.unique(np.sort(both, axis=0), axis=1)
+        return [pa.array(both[0]), pa.array(both[1])]
+
+    for x, y in found:
+        kept.append(np.stack([nodes[x], nodes[y]]))
+        count += len(x)
+        if count > 500_000:
+            yield pack()
+            kept, count = [], 0
+    yield pack()
+
+
+def prefix_lists(nodes: DataFrame) -> DataFrame:
+    """Of ``nodes`` (node, size, prefix) the candidates (a, b) that are neighbours in a list of the index, and the members (shingle, a: node,
+    size, place) of the lists that are longer than that."""
+    reach = REACHES[0]
+
+    def run(batches):
+        for keys, node, size, place in _runs(batches):
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            lengths = np.diff(np.append(np.flatnonzero(new), len(keys)))
+            length = np.repeat(lengths, lengths)
+            some = np.flatnonzero(length > 1)
+            some = some[np.lexsort((node[some], size[some], keys[some]))]
+            keys, node, size, place, length = keys[some], node[some], size[some].astype(np.int64), place[some].astype(np.int64), length[some]
+            for a, b in _pairs(_beside(keys, node, size, place, node, 1, reach), node):
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.record_batch([none, a, b, none, none], names=["shingle", "a", "b", "size", "place"])
+            long = length > reach + 1
+            yield pa.record_batch([pa.array(keys[long]), pa.array(node[long]), pa.nulls(int(long.sum()), pa.int64()), pa.array(size[long]), pa.array(place[long])], names=["shingle", "a", "b", "size", "place"])
+
+    posted = nodes.select("node", "size", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "node", "size", "place")
+    return posted.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "shingle long, a long, b long, size long, place long")
+
+
+def _further(members: DataFrame, labels: DataFrame, low: int, high: int | None) -> DataFrame:
+    """Candidates (a, b) of the long lists at distances from ``low`` to ``high`` that are not yet in one component."""
+
+    def run(batches):
+        for keys, node, size, place, label in _runs(batches):
+            order = np.lexsort((node, size, keys))
+            columns = [c[order] for c in (keys, node, size, place, label)]
+            found = _beside(*columns, low, high) if high else _across(*columns, low)
+            for a, b in _pairs(found, columns[1]):
+                yield pa.record_batch([a, b], names=["a", "b"])
+
+    named = members.join(labels, "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    return named.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+
+
+def _not_apart(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) whose ``nodes`` (node, size, marks) can be similar: they differ in a ninth of both sizes at most."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, sizes, x, y = batch.columns
+            near = [9 * apart(v, w) <= n for v, w, n in zip(x.to_pylist(), y.to_pylist(), sizes.to_pylist())]
+            yield pa.record_batch([a, b], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    first, second = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}n"), F.col("marks").alias(f"{c}m")) for c in ("a", "b"))
+    return edges.join(first, "a").join(second, "b").select("a", "b", (F.col("an") + F.col("bn")).alias("n"), "am", "bm").mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text)."""
 
     def run(batches):
         hashes: dict[bytes, int] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                found = []
-                for t in part.column(1).to_pylist():
-                    found.append(shingles(t, hashes))
-                    if len(hashes) > 500_000:
-                        hashes.clear()
+                found = [shingles(t, _forgetting(hashes)) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), list_array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64), [len(x) for x in found], pa.int64())], names=["node", "shingles"])
 
-    sets = written(texts.mapInArrow(run, "node long, shingles array<long>"), "shingles")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) whose ``sets`` (node, shingles) are similar."""
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s")) for c in ("a", "b"))
     common = F.size(F.array_intersect("as", "bs"))
     return edges.join(first, "a").join(second, "b").where(common >= SIMILAR * (F.size("as") + F.size("bs") - common)).select("a", "b")
 
 
+def verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``edges`` (a, b) whose ``texts`` (node, text) have at least ``SIMILAR`` of their five-word shingles in common."""
+    return _similar_sets(edges, written(shingle_sets(texts), "shingles"))
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text_hash, root, component) of every row: component is the smallest key reachable through links at similarity 0.8;
     root tells components apart that hold different texts of one key."""
-    hashed = written(long_fingerprints(docs.select(text, F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__hash")), text), "prints")
-    node = F.xxhash64(*_NAMES).alias("node")
-    nodes = written(hashed.groupBy(*_NAMES).agg(F.min("__key").alias("first"), F.min(F.struct("__key", "__hash")).alias("row")).select(node, *_NAMES, "first", "row"), "nodes")
-    near = written(similar_links(nodes, nodes.count()), "near")
-    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "row.*"), "node")
+    spark = docs.sparkSession
+    asked = docs.select(text, F.col(key).alias("__key"), F.xxhash64(F.col(text)).alias("__hash"))
+    wide = written(prefixes(asked, frequent(docs, text), text), "prefixes")
+    kept = ("size", "marks", "prefix")
+    index = written(wide.groupBy("node").agg(F.min("__key").alias("first"), F.min(F.struct("__key", "__hash")).alias("row"), *(F.first(c).alias(c) for c in kept)), "index")
+    lists = written(prefix_lists(index), "lists")
+    hashed, nodes = written(wide.drop(*kept), "hashes"), written(index.drop("prefix"), "nodes")
+    forget(wide, index)
+    release(spark)  # the index and its shuffle can go before the texts come
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    same = texts["k"].eqNullSafe(asked["__key"]) & (texts["h"] == asked["__hash"])
-    roots = components(verified(near, texts.join(asked, same).select("node", "text").dropDuplicates(["node"])))
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        near = written(_not_apart(candidates, nodes), "near")
+        met = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "row.*"), "node"), "met")
+        same = texts["k"].eqNullSafe(met["__key"]) & (texts["h"] == met["__hash"])
+        sets = written(shingle_sets(texts.join(met, same).select("node", "text").dropDuplicates(["node"])), "shingles")
+        release(spark)
+        out = written(_similar_sets(near, sets), "links")
+        forget(near, met, sets)
+        return out
+
+    links = linked(lists.where("shingle is null").select("a", "b").distinct())
+    roots = components(links)
+    members = lists.where("shingle is not null").select("shingle", F.col("a").alias("node"), "size", "place")
+    for low, high in zip(REACHES, REACHES[1:]) if not members.isEmpty() else ():
+        further = written(_further(members, roots, low + 1, high), "further")
+        if not further.isEmpty():
+            links = links.union(linked(further))
+            roots = components(links)
+        forget(further)
+    forget(lists)
+    release(spark)
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component"))
     classes = named.join(smallest, "root").select("node", "root", "component")
-    rows = hashed.select(F.col("__key").alias(key), F.col("__hash").alias("text_hash"), node)
+    rows = hashed.select(F.col("__key").alias(key), F.col("__hash").alias("text_hash"), "node")
     return rows.join(classes, "node").select(key, "text_hash", "root", "component")
 
 

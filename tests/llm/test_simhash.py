@@ -209,3 +209,79 @@ def test_repeated_ids_of_representatives(make):
     rows = [(7, "a b c d e f g h", "en", "w", 1), (7, "quite another text of more than five words", "en", "w", 1), (7, "a b c d e f g h", "en", "w", 1), (9, "a b c d e f g h", "en", "w", 1), (None, "a b c d e f g h", None, None, None)]
     kept = simhash.representatives(make(rows)).collect()
     assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("7", "a b c"), ("7", "quite"), ("None", "a b c")]
+
+
+def components_of(texts):
+    """Smallest place reachable through links at similarity 0.8, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        n = min(5, len(words))
+        sets.append({tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_every_pair_at_the_similarity_is_linked(make):
+    """Pairs that share exactly eight of ten shingles, of all sizes: none is missed."""
+    texts = []
+    for i in range(400):
+        n = 4 + 4 * (1 + i % 12)  # this many words: 4 k shingles of the shorter text, 5 k of the longer
+        words = [f"p{i}w{k}" for k in range(4 + 5 * (n - 4) // 4)]
+        texts += [" ".join(words), " ".join(words[:n])]
+    got = {r.doc_id: r.component for r in simhash.similar(make(texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_long_lists_lose_no_link(make, monkeypatch):
+    """Variants of one text: most are linked to some others only, and no list of theirs is short."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for at in r.sample(range(100), r.choice((1, 2, 2, 3))):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    want = components_of(texts)
+    assert 20 < len(set(want.values())) < 240
+    for reaches in ((16, 128, None), (1, 2, None)):
+        monkeypatch.setattr(simhash, "REACHES", reaches)
+        assert {r.doc_id: r.component for r in simhash.similar(make(texts)).collect()} == want
+
+
+def test_pairs_of_lists_are_all_met_once():
+    rng = np.random.default_rng(9)
+    keys = np.repeat(np.arange(4), (3, 40, 200, 1))
+    nodes, sizes, places = rng.permutation(len(keys)), rng.integers(90, 130, len(keys)), rng.integers(0, 20, len(keys))
+    labels = np.where(rng.random(len(keys)) < 0.6, 0, rng.integers(0, 30, len(keys)))
+    lists = keys, nodes, sizes, places, labels
+    found = [*simhash._beside(*lists, 1, 16), *simhash._beside(*lists, 17, 50), *simhash._across(*lists, 51)]
+    got = sorted((min(a, b), max(a, b)) for x, y in found for a, b in zip(x.tolist(), y.tolist()))
+    room = lambda a, b: 9 * min(sizes[a] - places[a], sizes[b] - places[b]) >= 4 * (sizes[a] + sizes[b])
+    assert got == [(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if keys[a] == keys[b] and labels[a] != labels[b] and room(a, b)]
+
+
+def test_the_order_of_shingles_changes_no_link(make, monkeypatch):
+    texts, _ = edited(30)
+    want = components_of(texts)
+    for sampled, often in ((1, 200_000), (5_000, 200_000), (5_000, 1)):
+        monkeypatch.setattr(simhash, "SAMPLED", sampled)
+        monkeypatch.setattr(simhash, "FREQUENT", often)
+        assert {r.doc_id: r.component for r in simhash.similar(make(texts)).collect()} == want
+
+
+def test_marks_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((0, 0, 0), (1, 1, 1), (4, 5, 4), (64, 65, 60), (300, 320, 290), (1000, 1250, 1000), (900, 900, 100), (5000, 40, 40)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(pool[n - common :])
+        least = simhash.apart(simhash.marks(x), simhash.marks(y))
+        assert least == simhash.apart(simhash.marks(y), simhash.marks(x)) <= n + m - 2 * common
+        if 0.8 * n < m < 1.25 * n and common < 0.5 * n:
+            assert 9 * least > n + m
