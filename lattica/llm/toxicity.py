@@ -28,6 +28,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ LEAST = 8
 MARGIN = 2.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
-_CHARS = 1_000_000
+_CHARS = 300_000
+_WORDS = 100_000
 _PAIRS = 200_000
 
 
@@ -90,7 +93,7 @@ def weights(texts: DataFrame) -> Model:
     sums = {c: follows.agg(F.sum(c).alias("all"), F.sum(F.least(c, F.lit(DISCOUNT))).alias("off"), seen(c).alias("types")).first() for c in ("ct", "co")}
     if not (sums["ct"]["all"] and sums["co"]["all"]):
         forget(counts)
-        return Model([], np.empty(0), np.empty(0, np.int64), np.empty(0))
+        return Model.of({}, {})
     shared = ((F.col("ct") > 0).cast("int") + (F.col("co") > 0).cast("int")) / F.lit(float(sums["ct"]["types"] + sums["co"]["types"]))
     p = {c: _discounted(F.col(c), shared, F.lit(float(x["all"])), F.lit(float(x["off"]))) for c, x in sums.items()}
     unigrams = written(follows.select("w", p["ct"].alias("pt"), p["co"].alias("po"), (F.greatest("ct", "co") > 1).alias("kept")), "unigrams")
@@ -103,11 +106,26 @@ def weights(texts: DataFrame) -> Model:
     return Model.of(dict(zip(single["w"].to_pylist(), single["ratio"].to_pylist())), {(h, w): r for h, w, r in zip(*(pairs[c].to_pylist() for c in ("h", "w", "ratio")))})
 
 
+class Ids(dict):
+    """The number of each word of a model, -1 for others: its place among the hashes. Keeps what was asked of late, not all words."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > _WORDS:
+            self.clear()
+        h = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.hashes, h))
+        self[word] = at = at if at < len(self.hashes) and self.hashes[at] == h else -1
+        return at
+
+
 @dataclass
 class Model:
-    """Ratios by word and by bigram, and the curve over a document's evidence."""
+    """Ratios by word and by bigram, and the curve over a document's evidence. Words are known by their hashes: every worker has them all."""
 
-    words: list[str]
+    words: np.ndarray
     single: np.ndarray
     keys: np.ndarray  # of bigrams: number of the first word times the number of words, and the second word's number
     double: np.ndarray
@@ -115,20 +133,21 @@ class Model:
 
     @classmethod
     def of(cls, single: dict[str, float], double: dict[tuple[str, str], float]) -> Model:
-        names = sorted({*single, *(x for pair in double for x in pair)})
+        hashes = {w: xxhash.xxh64_intdigest(w) for w in {*single, *(x for pair in double for x in pair)}}
+        names = sorted(hashes, key=hashes.get)
         ids = {w: i for i, w in enumerate(names)}
         keys = np.array([ids[h] * len(names) + ids[w] for h, w in double], np.int64)
         order = np.argsort(keys)
-        return cls(names, np.array([single.get(w, 0.0) for w in names]), keys[order], np.array(list(double.values()), float)[order])
+        return cls(np.array([hashes[w] for w in names], np.uint64), np.array([single.get(w, 0.0) for w in names]), keys[order], np.array(list(double.values()), float)[order])
 
-    def ids(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def ids(self) -> Ids:
+        return Ids(self.words)
 
-    def ratios(self, texts: list[str | None], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(self, texts: list[str | None], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
         """(the log-likelihood ratio of every token of ``texts``, the number of tokens of each)."""
         found = [words(t) for t in texts]
         sizes = np.array([len(x) for x in found], np.int64)
-        at = np.array([ids.get(w, -1) for x in found for w in x], np.int64)
+        at = np.array([ids[w] for x in found for w in x], np.int64)
         ratio = np.where(at >= 0, self.single[at], 0.0) if len(self.single) else np.zeros(len(at))
         if len(self.keys) and len(at):
             before = np.concatenate([[-1], at[:-1]])
@@ -139,7 +158,7 @@ class Model:
             ratio[met] = self.double[place[met]]
         return ratio, sizes
 
-    def evidence(self, texts: list[str | None], ids: dict[str, int]) -> np.ndarray:
+    def evidence(self, texts: list[str | None], ids: Ids) -> np.ndarray:
         """Of each text: number of tokens, sum of the ratios, sums of those beyond the margin for toxic and for ordinary."""
         ratio, sizes = self.ratios(texts, ids)
         row = np.repeat(np.arange(len(texts)), sizes)
@@ -193,13 +212,11 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         ids = m.ids()
         for batch in batches:
-            texts, found, low = batch.column(0).to_pylist(), [np.empty((0, 4))], 0
-            while low < len(texts):
-                high, chars = low, 0
-                while high < len(texts) and (high == low or chars + len(texts[high] or "") <= _CHARS):
-                    chars += len(texts[high] or "")
-                    high += 1
-                found.append(m.evidence(texts[low:high], ids))
+            found, low = [np.empty((0, 4))], 0
+            ends = np.cumsum(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while low < len(ends):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _CHARS, "right")))
+                found.append(m.evidence(batch.column(0).slice(low, high - low).to_pylist(), ids))
                 low = high
             rows = np.concatenate(found)
             yield pa.record_batch([*batch.columns[1:], *(pa.array(x) for x in rows.T), pa.array(m.score(rows))], names=[*batch.schema.names[1:], *made])

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -74,6 +75,18 @@ def test_evidence_of_both_signs():
     assert rows == [[3, -0.5, 3.0, 4.0], [0, 0, 0, 0], [3, -2.0, 3.0, 5.0], [0, 0, 0, 0]]
 
 
+def test_a_model_in_a_worker_is_arrays():
+    """What each worker keeps of a model's words does not grow with their number but by a hash and a ratio."""
+    single = {f"word{i}": float(i % 7 - 3) for i in range(300_000)}
+    model = toxicity.Model.of(single, {("word1", "word2"): 5.0})
+    ids = model.ids()
+    assert len(pickle.dumps(model)) < 20 * len(single) and len(ids) == 0
+    some = [f"word{i}" for i in range(0, 300_000, 2)]
+    got, sizes = model.ratios([" ".join(some), "word1 word2 none"], ids)
+    assert got.tolist() == [*(single[w] for w in some), single["word1"], 5.0, 0.0] and sizes.tolist() == [150_000, 3]
+    assert 0 < len(ids) <= toxicity._WORDS + 1
+
+
 def test_odd_rows(spark, make, odd):
     texts, labels = planted(120)
     labels += [(0, None, None), (None, 1, 1), (3, 0, 0), (3, 0, 0), (9999, 0, 1)]
