@@ -41,7 +41,8 @@ from lattica.llm.common import fold, release, written
 
 ORDER = 3
 CHUNK = 6 << 20
-BUCKET = 400_000
+BUCKET = 4_000_000
+FEWER = 4  # buckets of single words: a chunk has few different ones
 BUCKETS = 24
 SPARE = 14
 WIDE = 62
@@ -165,6 +166,14 @@ def edges(width: int, buckets: int) -> np.ndarray:
     return np.array([-(-(b << width) // buckets) for b in range(1, buckets)], np.uint64)
 
 
+def layout(size: int) -> tuple[list[int], list[int]]:
+    """Bits of the keys and number of buckets, by order, for ``size`` bytes of text. Every chunk has a row for every bucket: rows grow with the
+    square of the corpus, and are kept few by buckets as large as a task can hold."""
+    grams = ORDER * (size // 6 + 1)  # about as many
+    buckets = max(1, grams // BUCKET)
+    return [WIDE, *[min(grams.bit_length() + SPARE, WIDE)] * (ORDER - 1)], [-(-buckets // FEWER), *[buckets] * (ORDER - 1)]
+
+
 def _chunked(docs: DataFrame, key: str, role) -> DataFrame:
     """(chunk, keys, roles, sizes, texts, bytes): one row a chunk; odd ones are of the held-out part of the training documents.
 
@@ -209,18 +218,19 @@ def _texts(sizes: list[int], data: bytes) -> list[bytes]:
 
 def _rows(batches):
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+        for low in range(0, batch.num_rows, 64):
+            yield from zip(*(c.slice(low, 64).to_pylist() for c in batch.columns))
 
 
-def _asked(chunked: DataFrame, widths: list[int], buckets: int) -> DataFrame:
+def _asked(chunked: DataFrame, widths: list[int], buckets: list[int]) -> DataFrame:
     """(bucket, turn, chunk, data): the sorted keys of each chunk and order that fall in a bucket, and their counts."""
-    cuts = [edges(w, buckets) for w in widths]
+    cuts = [edges(w, n) for w, n in zip(widths, buckets)]
 
     def ask(chunk, roles, sizes, data):
         made = Chunk(_texts(sizes, data), widths)
         for n, (keys, counts) in enumerate(zip(made.keys, made.counted(np.array(roles) != _OUT_ROW))):
             bounds = [0, *np.searchsorted(keys, cuts[n]).tolist(), len(keys)]
-            for b in range(buckets):
+            for b in range(buckets[n]):
                 low, high = bounds[b], bounds[b + 1]
                 if low < high:
                     steps = np.diff(keys[low:high], prepend=cuts[n][b - 1] if b else np.uint64(0))
@@ -254,12 +264,12 @@ def _answers(asked: DataFrame) -> DataFrame:
         keys, counts, chunks = [], [], []
         for chunk, data in rows:
             steps, count = _parted(data)
-            counts.append(_unpacked(count).astype(np.int64))
+            counts.append(_unpacked(count))
             keys.append(np.cumsum(_unplaned(steps, len(counts[-1])), dtype=np.uint64))
             chunks.append(chunk)
         every = np.unique(np.concatenate(keys))
         totals = np.zeros((2, len(every)), np.int64)
-        places = [np.searchsorted(every, k) for k in keys]
+        places = [np.searchsorted(every, k).astype(np.int32) for k in keys]
         for chunk, place, count in zip(chunks, places, counts):
             totals[chunk & 1, place] += count
         for chunk, place in zip(chunks, places):
@@ -367,9 +377,8 @@ def scores(docs: DataFrame, key: str, role) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     chunked = written(_chunked(docs, key, role), "chunks")
     size = chunked.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-    grams = ORDER * (size // 6 + 1)  # about as many
-    widths = [WIDE, *[min(grams.bit_length() + SPARE, WIDE)] * (ORDER - 1)]
-    answers = written(_answers(_asked(chunked, widths, max(1, grams // BUCKET))), "totals")
+    widths, buckets = layout(size)
+    answers = written(_answers(_asked(chunked, widths, buckets)), "totals")
     release(spark)  # the shuffle of the keys can go before the next one comes
     parts = F.split(F.col("data").cast("string"), ",")
     sums = np.array([x or 0 for x in answers.where("chunk = -1").select(*(parts[k].cast("long").alias(f"s{k}") for k in range(4))).groupBy().sum().first()], np.int64)

@@ -137,6 +137,25 @@ def test_keys_of_many_chunks_are_those_of_one():
     assert len(whole.keys[2]) == len(grams)
 
 
+def test_rows_of_a_large_corpus_hold_many_keys():
+    """10 GB of text, which is about 6 GB of parquet: what chunks and buckets exchange is not a row for every few keys."""
+    size = 10_000_000_000
+    widths, buckets = lm.layout(size)
+    rows = size / lm.CHUNK * sum(buckets)
+    assert len(widths) == len(buckets) == lm.ORDER and rows < 1e6 * size / 1e9
+    assert all(lm.BUCKET <= lm.ORDER * size / 6 / n < 2 * lm.FEWER * lm.BUCKET for n in buckets)
+
+
+def test_buckets_of_each_order_change_no_score(make, monkeypatch):
+    texts = corpus()
+    want = sorted(lm.op10(make(texts)).collect())
+    monkeypatch.setattr(lm, "BUCKET", 100)
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    assert lm.layout(10_000)[1][0] < lm.layout(10_000)[1][1]
+    for a, b in zip(want, sorted(lm.op10(make(texts)).collect())):
+        assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score)
+
+
 def test_odd_rows(make, odd):
     rows = lm.op10(make(odd, extra=True)).collect()
     assert len(rows) == len(odd)
