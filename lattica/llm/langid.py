@@ -30,19 +30,24 @@ PROFILE = 400
 ORDERS = 3
 UNKNOWN = "und"
 _NUMERALS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))  # such as ², ½ and Ⅷ
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")  # tries the numerals one by one: slow, so it is asked about each code point but once
+_LETTER = np.zeros(0x110000, bool)
+_LETTER[np.frombuffer("".join(_LETTERS.findall("".join(filter(str.isalnum, map(chr, range(0x110000)))))).encode("utf-32-le"), np.uint32)] = True
+_BLANK = 32
 
 
 def grams(text: str | None) -> np.ndarray:
     """Codes of all n-grams of a text: up to three code points of 21 bits each."""
-    words = _LETTERS.findall((text or "").lower())
-    if not words:
+    points = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = _LETTER[points]
+    if not letter.any():
         return np.empty(0, np.int64)
-    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    out, code = [points[points != 32]], points
+    after = np.concatenate([[False], letter[:-1]])
+    points = np.concatenate([[_BLANK], np.where(letter, points, _BLANK)[letter | after]])  # one blank before, between and after the words
+    out, code = [points[points != _BLANK]], points
     for n in range(2, ORDERS + 1):
         code = (code[:-1] << 21) | points[n - 1 :]
-        inner = points[1 : len(points) - n + 2] != 32
+        inner = points[1 : len(points) - n + 2] != _BLANK
         out.append(code[inner] if n == 3 else code)
     return np.concatenate(out)
 
