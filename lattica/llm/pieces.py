@@ -27,6 +27,7 @@ import heapq
 import os
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,14 @@ class Pieces:
                 self.symbol[ord(x)] = n
         self.piece = np.array([self.ids.get(x, -1) for x in symbols], np.int32)
         pairs = sorted((symbols[p[:k]] << 32 | symbols[p[k:]], self.rank[p], symbols[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols)
-        self.pair, self.pair_rank, self.pair_symbol = (np.array(x, np.int64) for x in zip(*pairs))
+        none = (np.iinfo(np.int64).min, _NONE, 0)  # what an empty slot leads to
+        self.pair, self.pair_rank, self.pair_symbol = (np.array(x, np.int64) for x in zip(*pairs, none))
+        self.shift = np.uint64(64 - (8 * len(pairs)).bit_length())
+        slots = self._slots(self.pair[:-1])
+        self.slot = np.full(1 << 64 - int(self.shift), len(pairs), np.int32)
+        self.slot[slots] = np.arange(len(pairs))
+        self.crowded = np.zeros(len(self.pair), bool)  # pairs that hold a slot which others wanted
+        self.crowded[self.slot[slots[self.slot[slots] != np.arange(len(pairs))]]] = True
 
     def agenda(self, text: str, skip) -> list[str]:
         """The parts that the agenda of ``text`` leaves; ``skip(hash)`` decides on each candidate that comes up."""
@@ -197,11 +205,19 @@ class Pieces:
         """Piece ids of one chunk at one occurrence, by its own agenda."""
         return self.named(self.agenda(chunk, lambda h: skipped(occurrence, h, self.limit)))
 
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        """Where to look for each of ``pairs`` first."""
+        return (pairs.astype(np.uint64) * np.uint64(_GOLDEN)) >> self.shift
+
     def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, symbol) of merging ``a`` and ``b``; rank ``_NONE`` where no piece comes of it."""
         wanted = a.astype(np.int64) << 32 | b
-        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
-        met = (self.pair[at] == wanted) & (a >= 0) & (b >= 0)
+        at = self.slot[self._slots(wanted)]
+        met = self.pair[at] == wanted
+        lost = np.flatnonzero(self.crowded[at] & ~met)
+        if len(lost):
+            at[lost] = np.minimum(np.searchsorted(self.pair[:-1], wanted[lost]), len(self.pair) - 2)
+            met[lost] = self.pair[at[lost]] == wanted[lost]
         return np.where(met, self.pair_rank[at], _NONE), self.pair_symbol[at]
 
     def side_by_side(self, chunks: list[str], keys: np.ndarray | None):
@@ -270,11 +286,15 @@ class Pieces:
 
     def _bytes(self, ids: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` with the byte pieces of the character at each place that has none."""
-        out = [[i] if i >= 0 else [self.bytes[b] for b in chr(c).encode()] for i, c in zip(ids.tolist(), points.tolist())]
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        none = np.flatnonzero(ids < 0)
+        found = [chr(c).encode() for c in points[none].tolist()]
+        lengths = np.ones(len(ids), np.int64)
+        lengths[none] = [len(x) for x in found]
         ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.repeat(ids, lengths)
+        out[ragged(ends[none], lengths[none])] = np.array(self.bytes, np.int32)[np.frombuffer(b"".join(found), np.uint8)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return np.array([x for part in out for x in part], np.int32), np.diff(ends[bounds])
+        return out, np.diff(ends[bounds])
 
     def _learn(self, chunks: list[str]) -> None:
         """Keep what the agendas of new ``chunks`` do without skips."""
@@ -296,7 +316,7 @@ class Pieces:
         if self.known.hashes.n + self.known.ids.n > _KEPT:
             self.known = Known()
         known, get = self.known, self.known.rows.get
-        rows = np.array([get(c, -1) for c in chunks], np.int64)
+        rows = np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(rows < 0)
         if len(new):
             self._learn(list(dict.fromkeys(chunks[j] for j in new.tolist())))

@@ -36,6 +36,38 @@ def test_lossless(text, key):
     assert reader.decode(reader.encode(text, key).tolist()) == text
 
 
+def test_merges_are_looked_up_by_slots(own):
+    """All pairs of the vocabulary and many others, and that in less time than by bisection, which took a fifth of op6."""
+    import time
+
+    symbols = {x: n for n, x in enumerate(dict.fromkeys([*own.ids, *"".join(own.ids)]))}
+    want = {(symbols[p[:k]], symbols[p[k:]]): (own.rank[p], symbols[p]) for p in own.ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols}
+    assert own.crowded.any()
+    rank, to = own._merges(*np.array(list(want), np.int32).T)
+    assert list(zip(rank.tolist(), to.tolist())) == list(want.values())
+    a, b = np.random.default_rng(0).integers(-1, len(symbols), (2, 400_000)).astype(np.int32)
+    known = np.array(list(want), np.int32)
+    a[::2] = known[np.arange(200_000) % len(known), 0]
+    rank, _ = own._merges(a, b)
+    assert rank.tolist() == [want.get(x, (pieces._NONE,))[0] for x in zip(a.tolist(), b.tolist())]
+    keys = np.sort(known[:, 0].astype(np.int64) << 32 | known[:, 1])
+
+    def took(f):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert took(lambda: own._merges(a, b)) < took(lambda: np.searchsorted(keys, a.astype(np.int64) << 32 | b))
+
+
+def test_bytes_where_there_is_no_piece(own):
+    ids, sizes = own._bytes(np.array([5, -1, 7, -1, 9], np.int32), np.array([0x61, 0x1F600, 0x62, 0xFF, 0x63], np.uint32), np.array([2, 0, 3]))
+    assert ids.tolist() == [5, *(own.bytes[b] for b in "\U0001f600".encode()), 7, *(own.bytes[b] for b in "ÿ".encode()), 9] and sizes.tolist() == [5, 0, 4]
+
+
 WORDS = ["▁tokenization", "▁Straßenbahn", "▁aaaaaaaaaa", "▁l'éléphant", "▁международный", "▁漢字かな", "▁\U0001f600x", "a" * 64, "a" * 65, "▁" + "internationalisation" * 5, "x\0y\0"]
 
 
