@@ -423,6 +423,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
                 kept = [c.slice(low, len(columns[0])) for c in batch.columns[2:]]
                 low += len(columns[0])
                 yield pa.record_batch([*columns, *kept], names=[key, "pieces", "n_pieces", "n_chars", *keep])
+        reader.known = Known()  # other steps use the worker after this one
 
     kind = docs.schema[key].dataType.simpleString()
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

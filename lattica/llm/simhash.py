@@ -339,11 +339,12 @@ def similar_links(nodes: DataFrame, count: int) -> DataFrame:
 SAMPLED = 5_000  # documents at least, and one in ``ONE_IN``, tell the frequent shingles
 ONE_IN = 20
 FREQUENT = 200_000  # that are put in order; the order decides how long lists are, not what is found
+_KEPT = 100_000  # hashes of words that a worker keeps
 REACHES = (16, 128, None)  # neighbours in a list that are verified in turn; None: all
 
 
 def _forgetting(hashes: dict) -> dict:
-    if len(hashes) > 500_000:
+    if len(hashes) > _KEPT:
         hashes.clear()
     return hashes
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -203,6 +204,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLAS
     return model
 
 
+def _evidence(texts: pa.Array, model: Model, ids: Ids) -> np.ndarray:
+    """The evidence of the texts of a batch, a slice of it at a time."""
+    found, low = [np.empty((0, 4))], 0
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _CHARS, "right")))
+        found.append(model.evidence(texts.slice(low, high - low).to_pylist(), ids))
+        low = high
+    return np.concatenate(found)
+
+
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without ``text`` but with ``tokens``, ``total`` (sum of the ratios), ``toxic_sum``, ``ordinary_sum`` (of those beyond the margin) and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,13 +224,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         ids = m.ids()
         for batch in batches:
-            found, low = [np.empty((0, 4))], 0
-            ends = np.cumsum(pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            while low < len(ends):
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + _CHARS, "right")))
-                found.append(m.evidence(batch.column(0).slice(low, high - low).to_pylist(), ids))
-                low = high
-            rows = np.concatenate(found)
+            rows = _evidence(batch.column(0), m, ids)
             yield pa.record_batch([*batch.columns[1:], *(pa.array(x) for x in rows.T), pa.array(m.score(rows))], names=[*batch.schema.names[1:], *made])
 
     keep = [c for c in docs.columns if c != "text"]
@@ -238,8 +244,16 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if isinstance(model, float):
         return docs.where(F.lit(model < THRESHOLD))
-    plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return evidence(plain, model).where(F.col("score") < THRESHOLD).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        ids = m.ids()
+        for texts in batches:
+            yield pa.array(m.score(_evidence(texts, m, ids)))
+
+    score = F.arrow_udf(run, "double")  # texts go to the workers once and scores come back; the rows stay where they are
+    return docs.where(score("text") < THRESHOLD)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

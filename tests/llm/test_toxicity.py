@@ -111,6 +111,24 @@ def test_accepted_keeps_clean_rows(spark, make):
     assert len(kept & clean) >= 0.98 * len(clean) and len(kept - clean) <= 0.02 * len(texts)
 
 
+def test_workers_take_each_text_once_and_give_back_scores(spark, make):
+    """Rows that went through the workers, with the text beside them, took more than an executor's memory."""
+    texts, labels = planted()
+    long = [(1000 + i, " ".join(f"pad{i}x{j}" for j in range(2000)), "en", "web", 1) for i in range(50)]
+    kept = toxicity.accepted(make([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)] + long), spark.createDataFrame(labels, LABELS))
+    rows = kept.collect()
+    size = sum(len(t) for t in texts) + sum(len(r[1]) for r in long)
+    assert {r.doc_id: r.text for r in rows if r.doc_id >= 1000} == {r[0]: r[1] for r in long}
+    sent, received, nodes = 0, 0, [kept._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("pythonDataSent"):
+            sent += node.metrics().apply("pythonDataSent").value()
+            received += node.metrics().apply("pythonDataReceived").value()
+    assert 0 < sent < 1.2 * size and 0 < received < 0.1 * size
+
+
 def test_held_out_accuracy_on_the_tables(spark, sf):
     path = sf.replace("sf0.001", "sf0.1")  # enough labels to learn from
     labels = {r.doc_id: r.toxic for r in table(spark, path, "labels").collect()}
