@@ -185,6 +185,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """What :func:`components` gives with more ``links`` (a, b) than those of its result ``roots``: only the roots that they join are gone over."""
+    first, second = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r")) for c in ("a", "b"))
+    between = links.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+    joined = components(between.where("a <> b").distinct())
+    old = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return written(old.unionByName(joined.join(roots, "node", "left_anti")), "roots")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, simhash, component): component is the smallest key reachable through links of up to three differing bits."""
     hashed = written(fingerprints(docs.select(key, text), text, width), "simhash")
@@ -585,14 +594,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         forget(near, met, sets)
         return out
 
-    links = linked(lists.where("shingle is null").select("a", "b").distinct())
-    roots = components(links)
+    roots = components(linked(lists.where("shingle is null").select("a", "b").distinct()))
     members = lists.where("shingle is not null").select("shingle", F.col("a").alias("node"), "size", "place")
     for low, high in zip(REACHES, REACHES[1:]) if not members.isEmpty() else ():
         further = written(_further(members, roots, low + 1, high), "further")
         if not further.isEmpty():
-            links = links.union(linked(further))
-            roots = components(links)
+            roots = merged(roots, linked(further))
         forget(further)
     forget(lists)
     release(spark)

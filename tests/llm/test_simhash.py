@@ -255,6 +255,33 @@ def test_long_lists_lose_no_link(make, monkeypatch):
         assert {r.doc_id: r.component for r in simhash.similar(make(texts)).collect()} == want
 
 
+def test_later_links_go_between_roots_only(make, monkeypatch):
+    """The links of a large group were all gone over again after each round."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for at in r.sample(range(100), r.choice((1, 2, 2, 3))):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    met, plain = [], simhash.components
+    monkeypatch.setattr(simhash, "REACHES", (64, None))
+    monkeypatch.setattr(simhash, "components", lambda edges: met.append(edges.count()) or plain(edges))
+    assert {x.doc_id: x.component for x in simhash.similar(make(texts)).collect()} == components_of(texts)
+    assert len(met) == 2 and met[1] < met[0], met
+
+
+def test_merged_components_are_those_of_all_links(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(120), r.randrange(120, 240)) for _ in range(130)]
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    want = {x.node: x.root for x in simhash.components(frame(edges)).collect()}
+    for low in (0, 60, 130):
+        got = simhash.merged(simhash.components(frame(edges[:low])), frame(edges[low:])).collect()
+        assert {x.node: x.root for x in got} == want and len(got) == len(want)
+
+
 def test_pairs_of_lists_are_all_met_once():
     rng = np.random.default_rng(9)
     keys = np.repeat(np.arange(4), (3, 40, 200, 1))
