@@ -17,3 +17,25 @@ def test_impact_of_more_than_fifty_edges(spark):
     none = spark.createDataFrame([], "node_id long")
     got = impact.risk(edges, symbols, files, symbols.where("id in (0, 5)").select("id"), none, []).orderBy("id").collect()
     assert [(r.id, r.fan_in, r.direct_files, r.level) for r in got] == [(0, n, n, "HIGH"), (5, 0, 1, "LOW")]
+
+
+def test_names_without_pairs(spark):
+    rows = [(i, f"n{i % 3}" if i % 11 else None, f"a{i % 4}/b{i % 5}/f{i}") for i in range(120)] + [(200, "n1", "top"), (201, "n1", "/top")]
+    symbols = spark.createDataFrame(rows, "id long, name string, path string")
+    refs = spark.createDataFrame([(i, n, p) for i, n, p in rows] + [(300, "n2", "z/q"), (301, "absent", "a1/x")], "ref_id long, name string, path string")
+
+    def dirs(path):
+        return path.rpartition("/")[0], path.split("/")[0] if "/" in path else "."
+
+    def place(a, b):
+        (x, p), (y, q) = dirs(a), dirs(b)
+        return 0 if x == y else 1 if p == q else 2
+
+    want = {}
+    for ref, name, path in [tuple(r) for r in refs.collect()]:
+        found = [(place(path, p), i) for i, n, p in rows if n is not None and n == name]
+        if found:
+            want[ref] = min(found)[1]
+    best = health.best_by_name(refs, symbols)
+    assert {r.ref_id: r.symbol_id for r in best.collect()} == want
+    assert best.count() == len(want)
