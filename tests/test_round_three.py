@@ -39,3 +39,20 @@ def test_names_without_pairs(spark):
     best = health.best_by_name(refs, symbols)
     assert {r.ref_id: r.symbol_id for r in best.collect()} == want
     assert best.count() == len(want)
+
+
+URLS = ["https://x.example/en/6126.html", "http://y.example/en/12", "http://y.example/en/77?page=2", "https://x.example/en/9.html#top", "https://x.example/fr/1/", "http://x.example", "http://x.example/a//7", None]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    path = paths.url_path(F.col("url"))
+    p = spark.createDataFrame(list(enumerate(URLS)), "id long, url string")
+    routes = p.select(F.col("id").alias("route_id"), F.when(F.col("id") % 2 == 0, "GET").alias("method"), paths.numbers_varied(path).alias("path"))
+    calls = p.where("id in (0, 1, 5)").select(F.col("id").alias("call_id"), F.when(F.col("id") == 0, "GET").otherwise("POST").alias("method"), path.alias("path"))
+    return routes, calls
+
+
+def test_numbers_that_begin_a_segment_vary(pages):
+    got = sorted(map(tuple, health.match_templates(*pages).collect()))
+    assert got == [(0, 0), (1, 1), (3, 0), (5, 5)]  # a page's number meets no name of a file
