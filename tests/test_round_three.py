@@ -56,3 +56,7 @@ def pages(spark):
 def test_numbers_that_begin_a_segment_vary(pages):
     got = sorted(map(tuple, health.match_templates(*pages).collect()))
     assert got == [(0, 0), (1, 1), (3, 0), (5, 5)]  # a page's number meets no name of a file
+
+
+def test_routes_that_no_call_meets(pages):
+    assert sorted(r.route_id for r in health.without_client(*pages).collect()) == [2, 4, 6, 7]
