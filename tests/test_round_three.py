@@ -1,10 +1,13 @@
 """Whole results where earlier forms cut, paired or gathered too much: against plain Python on small inputs."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import paths
-from lattica.operators import health, impact
+from lattica.operators import graph, health, impact, shortest
 
 EDGES = "id long, source_id long, target_id long, relationship_type string, weight double, confidence double, evidence string"
 
@@ -60,3 +63,43 @@ def test_numbers_that_begin_a_segment_vary(pages):
 
 def test_routes_that_no_call_meets(pages):
     assert sorted(r.route_id for r in health.without_client(*pages).collect()) == [2, 4, 6, 7]
+
+
+def test_betweenness_without_edges_in_the_driver(spark, monkeypatch):
+    """The same sums as a search in plain Python, of a graph with parallel edges and ends that are no nodes; nothing is collected."""
+    r = random.Random(5)
+    pairs = [(r.randrange(60), r.randrange(70)) for _ in range(240)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    want = dict.fromkeys(range(60), 0.0)
+    for s in range(0, 60, 3):  # an even sample of 20
+        order, ways, depth, before = [s], {s: 1.0}, {s: 0}, {}
+        for v in order:
+            for w in near.get(v, []):
+                if w not in depth:
+                    depth[w] = depth[v] + 1
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] = ways.get(w, 0.0) + ways[v]
+                    before.setdefault(w, []).append(v)
+        gain = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before.get(w, []):
+                gain[v] += ways[v] / ways[w] * (1 + gain[w])
+            if w != s and w in want:
+                want[w] += gain[w]
+    edges = spark.createDataFrame([(i, a, b, "CALLS", 0.7, 1.0, "EXTRACTED") for i, (a, b) in enumerate(pairs)], EDGES)
+    monkeypatch.setattr(shortest, "CHUNK", 7)
+    monkeypatch.setattr(type(edges), "collect", lambda self: pytest.fail("rows went to the driver"))
+    found = graph.betweenness(spark.range(60), edges, sources=20)
+    monkeypatch.undo()
+    scale = 60 / 20 / (59 * 58)
+    assert {x.node_id: round(x.betweenness, 9) for x in found.collect()} == {k: round(v * scale, 9) for k, v in want.items()}
+
+
+def test_dependencies_in_small_steps(monkeypatch):
+    starts, ends, near = np.array([0, 3, 5, 6, 6]), np.array([3, 5, 6, 6, 6]), np.array([1, 1, 2, 2, 3, 4], dtype=np.int32)
+    whole = shortest.dependencies(np.arange(5), starts, ends, near)
+    monkeypatch.setattr(shortest, "CHUNK", 1)
+    assert np.allclose(whole, shortest.dependencies(np.arange(5), starts, ends, near)) and whole[1] == 1 and whole[2] == 2
