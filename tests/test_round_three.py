@@ -103,3 +103,25 @@ def test_dependencies_in_small_steps(monkeypatch):
     whole = shortest.dependencies(np.arange(5), starts, ends, near)
     monkeypatch.setattr(shortest, "CHUNK", 1)
     assert np.allclose(whole, shortest.dependencies(np.arange(5), starts, ends, near)) and whole[1] == 1 and whole[2] == 2
+
+
+@pytest.mark.parametrize("in_one_bin", [1, 7, 10**6])
+def test_louvain_by_components(spark, in_one_bin):
+    """As the whole graph in one list: several components, one of many levels, nodes without edges; no task holds all pairs where bins are small."""
+    r = random.Random(3)
+    groups = [range(k * 40, k * 40 + n) for k, n in enumerate((40, 25, 12, 2, 3))]
+    pairs = sorted({(a, b) for g in groups for a, b in ((r.choice(g), r.choice(g)) for _ in range(4 * len(g))) if a < b})
+    weights = [round(r.choice((0.7, 0.9, 0.5)), 1) for _ in pairs]
+    ids = list(range(0, 230))
+    edges = spark.createDataFrame([(i, a, b, "CALLS", w, 1.0, "EXTRACTED") for i, ((a, b), w) in enumerate(zip(pairs, weights))], EDGES)
+    want = graph.louvain_kernel(ids, [(a, b, w) for (a, b), w in zip(pairs, weights)])
+    assert {x.node_id: x.cluster_id for x in graph.louvain(spark.range(230), edges, in_one_bin=in_one_bin).collect()} == want
+
+
+def test_weak_components(spark):
+    pairs = [(i, i + 1) for i in range(0, 40) if i % 9] + [(100, 7), (200, 201)]
+    got = {x.id: x.component for x in graph.weak_components(spark.createDataFrame([(min(p), max(p)) for p in pairs], "a long, b long")).collect()}
+    want = {}
+    for i in range(1, 41):
+        want[i] = want[i - 1] if (i - 1) % 9 and i - 1 in want else i
+    assert got == want | {100: want[7], 200: 200, 201: 200}
