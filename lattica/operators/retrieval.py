@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,14 +194,31 @@ def quality(ranked: DataFrame, expected: DataFrame, k: int = 20) -> DataFrame:
 GRID = {"seed": (0.3, 0.4, 0.5, 0.6), "proximity": (0.15, 0.25, 0.35), "centrality": (0.05, 0.1, 0.15)}
 
 
+def _best_of(parts: DataFrame, names: list[str], combos: list[tuple], k: int) -> DataFrame:
+    """(combo, task, path, score): for every combination, rows of ``parts`` among which the ``k`` best paths of each task are: the best of each batch of rows."""
+    def run(frames):
+        for frame in frames:
+            tasks, columns = frame["task"].to_numpy(), [frame[n].to_numpy(dtype="float64", na_value=float("nan")) for n in names]
+            for i, weights in enumerate(combos):
+                score = np.zeros(len(frame))
+                for weight, column in zip(weights, columns):
+                    score = score + weight * column
+                some = pd.DataFrame({"combo": i, "task": tasks, "path": frame["path"], "score": score})
+                some = some.sort_values(["score", "path"], ascending=[False, True], na_position="last", kind="stable").drop_duplicates(["task", "path"])
+                yield some.groupby("task", sort=False, dropna=False).head(k)
+
+    return parts.select("task", "path", *names).mapInPandas(run, f"combo int, task {parts.schema['task'].dataType.simpleString()}, path {parts.schema['path'].dataType.simpleString()}, score double")
+
+
 def tune(parts: DataFrame, expected: DataFrame, grid: dict[str, tuple] = GRID, k: int = 10) -> DataFrame:
-    """(seed, proximity, centrality, recall, irrelevant) of every combination, best first: one pass over ``parts`` for all."""
+    """(seed, proximity, centrality, recall, irrelevant) of every combination, best first: one pass over ``parts`` for all.
+
+    Each batch of rows names its best for all combinations, and only those are dealt out."""
     spark = parts.sparkSession
     names = list(grid)
-    combos = spark.createDataFrame([(i, *c) for i, c in enumerate(itertools.product(*grid.values()))], ", ".join(["combo int", *(f"w_{n} double" for n in names)]))
-    value = sum((F.col(f"w_{n}") * F.col(n) for n in names), F.lit(0.0))
-    scored = parts.crossJoin(F.broadcast(combos)).withColumn("score", value)
-    best = scored.groupBy("combo", "task", "path").agg(F.max("score").alias("score"))
+    every = list(itertools.product(*grid.values()))
+    combos = spark.createDataFrame([(i, *c) for i, c in enumerate(every)], ", ".join(["combo int", *(f"w_{n} double" for n in names)]))
+    best = _best_of(parts, names, every, k).groupBy("combo", "task", "path").agg(F.max("score").alias("score"))
     placed = best.withColumn("place", F.row_number().over(Window.partitionBy("combo", "task").orderBy(F.desc("score"), "path"))).where(F.col("place") <= k)
     total = expected.groupBy("task").agg(F.count("*").alias("total"))
     hits = placed.join(expected.withColumn("hit", F.lit(1)), ["task", "path"], "left").groupBy("combo", "task").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count("*").alias("n"))

@@ -1,13 +1,16 @@
 """Whole results where earlier forms cut, paired or gathered too much: against plain Python on small inputs."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import scratch
 from lattica.functions import paths
-from lattica.operators import graph, health, impact, shortest
+from lattica.operators import fts, graph, health, history, impact, retrieval, shortest
+from lattica.plans.projections import Data
 
 EDGES = "id long, source_id long, target_id long, relationship_type string, weight double, confidence double, evidence string"
 
@@ -125,3 +128,25 @@ def test_weak_components(spark):
     for i in range(1, 41):
         want[i] = want[i - 1] if (i - 1) % 9 and i - 1 in want else i
     assert got == want | {100: want[7], 200: 200, 201: 200}
+
+
+def test_tuning_names_the_best_of_each_batch(spark):
+    """Against all scores in plain Python, with paths named twice; rows are not multiplied by the grid in a join."""
+    r = random.Random(1)
+    rows = [(f"t{i % 3}", r.randrange(60), r.random(), r.random(), r.random()) for i in range(300)]
+    expected = [(f"t{i % 3}", i) for i in range(0, 60, 4)]
+    parts = spark.createDataFrame(rows, "task string, path long, seed double, proximity double, centrality double").repartition(5)
+    found = retrieval.tune(parts, spark.createDataFrame(expected, "task string, path long"))
+    want = {}
+    for i, c in enumerate(itertools.product(*retrieval.GRID.values())):
+        recall = []
+        for task in ("t0", "t1", "t2"):
+            best = {}
+            for t, path, *values in rows:
+                if t == task:
+                    best[path] = max(best.get(path, 0.0), sum(x * y for x, y in zip(c, values)))
+            top = sorted(best, key=lambda p: (-best[p], p))[:10]
+            recall.append(len({(task, p) for p in top} & set(expected)) / len([e for e in expected if e[0] == task]))
+        want[i] = sum(recall) / 3
+    assert {x.combo: round(x.recall, 9) for x in found.collect()} == {i: round(v, 9) for i, v in want.items()}
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
