@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,7 @@ def postings(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
 
 def terms(spark: SparkSession, tokens: list[str]) -> DataFrame:
     """Query terms as rows: letters and digits only, two at least, each once."""
-    clean = dict.fromkeys("".join(c for c in t if c.isalnum()).lower() for t in tokens)
-    return spark.createDataFrame([(t,) for t in clean if len(t) >= 2], "term string")
+    return spark.createDataFrame([(t,) for t in clean_terms(tokens)], "term string")
 
 
 def query_tokens(spark: SparkSession, text: str) -> list[str]:
@@ -50,6 +51,40 @@ def bm25(posts: DataFrame, query: DataFrame, key: str, limit: int | None = 100,
     return scored if limit is None else scored.orderBy(F.desc(F.round("bm25", 9)), key).limit(max(1, min(500, limit)))
 
 
+def counted(docs: DataFrame, key: str, query: list[str], prefix: bool = True, tokens: str = "tokens", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, dl, tf, keep...): length of each document (key, tokens) and how often it holds each term of ``query``, in its order.
+
+    Tokens are counted where they are read: one row a document goes on, not one a token. Rows of one key are one document."""
+    def hits(held: Column, term: str) -> Column:
+        return F.size(F.filter(held, lambda t: t.startswith(term) if prefix else t == term))
+
+    counts = F.transform(F.array(F.col(tokens)), lambda held: F.struct(F.size(held).cast("double").alias("dl"), *(hits(held, q).alias(f"tf{i}") for i, q in enumerate(query))))[0]
+    rows = docs.select(key, *keep, counts.alias("c")).where("c.dl > 0")
+    sums = rows.groupBy(key).agg(F.sum("c.dl").alias("dl"), *(F.sum(f"c.tf{i}").alias(f"tf{i}") for i in range(len(query))), *(F.first(c).alias(c) for c in keep))
+    return cut(sums, "counts")
+
+
+def clean_terms(tokens: list[str]) -> list[str]:
+    """Query terms: letters and digits only, two at least, each once."""
+    return [t for t in dict.fromkeys("".join(c for c in t if c.isalnum()).lower() for t in tokens) if len(t) >= 2]
+
+
+def bm25_of(counts: DataFrame, key: str, limit: int | None = 100) -> DataFrame:
+    """(key, bm25): the scores of :func:`bm25` from the table of :func:`counted`."""
+    places = [c for c in counts.columns if c.startswith("tf") and c[2:].isdigit()]
+    n, avgdl, *df = counts.agg(F.count("*").cast("double"), F.avg("dl"), *(F.count_if(F.col(c) > 0) for c in places)).first()
+    total = F.lit(0.0)
+    for c, d in zip(places, df):
+        idf = max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6)
+        tf = F.col(c)
+        total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (avgdl or 1.0)))).otherwise(0.0)
+    hit = F.lit(False)
+    for c in places:
+        hit = hit | (F.col(c) > 0)
+    scored = counts.where(hit).select(key, total.alias("bm25"))
+    return scored if limit is None else scored.orderBy(F.desc(F.round("bm25", 9)), key).limit(max(1, min(500, limit)))
+
+
 def normalised(hits: DataFrame) -> DataFrame:
     """``hits`` with ``score``: (k + .5) / (best + 1), between 0 and 1."""
     best = F.max("bm25").over(Window.partitionBy())
@@ -61,7 +96,8 @@ def demoted(hits: DataFrame, docs: DataFrame, key: str, tokens: list[str], facto
     if len(tokens) < 4:
         return hits
     exact = F.size(F.array_intersect("tokens", F.array(*[F.lit(t) for t in dict.fromkeys(tokens)])))
-    joined = hits.join(docs.select(key, exact.alias("__exact")), key, "left")
+    own = docs.join(F.broadcast(hits.select(key)), key, "left_semi").select(key, exact.alias("__exact"))
+    joined = hits.join(own, key, "left")
     weak = (F.coalesce("__exact", F.lit(0)) < 2) & (F.col("score") < 0.7)
     return joined.withColumn("score", F.when(weak, F.col("score") * factor).otherwise(F.col("score"))).drop("__exact")
 

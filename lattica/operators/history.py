@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.paths import is_history_skipped, is_test
 from lattica.functions.text import commit_tokens
-from lattica.operators.fts import bm25, overlap, postings, terms
+from lattica.operators.fts import bm25_of, clean_terms, counted, overlap
 from lattica.scratch import cut
 
 MAX_FILES = 40
@@ -89,12 +89,12 @@ def search(
     if exclude:
         pool = pool.where(~F.col("sha").isin(*exclude))
     if indexed:
-        hits = bm25(postings(pool, "sha"), terms(documents.sparkSession, tokens), "sha", top, prefix=False)
+        hits = cut(bm25_of(counted(pool, "sha", clean_terms(tokens), prefix=False), "sha", top), "hits")
         best = F.max("bm25").over(Window.partitionBy())
         hits = hits.select("sha", F.least(F.lit(1.0), (F.col("bm25") + 0.5) / (best + 1)).alias("match"))
     else:
         hits = overlap(pool, "sha", tokens, top).withColumnRenamed("score", "match")
-    moved = pool.join(F.broadcast(hits), "sha").select("sha", "ts", "subject", "files", "match", F.explode("paths").alias("path"))
+    moved = pool.join(F.broadcast(hits.select("sha")), "sha", "left_semi").join(F.broadcast(hits), "sha").select("sha", "ts", "subject", "files", "match", F.explode("paths").alias("path"))
     if renames is not None:
         moved = moved.join(renames, "path", "left").withColumn("path", F.coalesce("current", "path")).drop("current")
     alive = moved.join(live.select("path").distinct(), "path", "left_semi").groupBy("sha", "ts", "subject", "files", "match").agg(F.sort_array(F.collect_set("path")).alias("paths"))

@@ -150,3 +150,17 @@ def test_tuning_names_the_best_of_each_batch(spark):
         want[i] = sum(recall) / 3
     assert {x.combo: round(x.recall, 9) for x in found.collect()} == {i: round(v, 9) for i, v in want.items()}
     assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_scores_without_a_row_for_each_token(spark, prefix):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, [r.choice(("red", "redder", "blue", "bolt", "b")) for _ in range(r.randrange(9))]) for i in range(80)], "id long, tokens array<string>")
+    words = ["red", "bolt", "absent", "b!"]
+    want = fts.bm25(fts.postings(docs, "id"), fts.terms(spark, words), "id", 20, prefix=prefix).collect()
+    counts = fts.counted(docs, "id", fts.clean_terms(words), prefix=prefix)
+    got = fts.bm25_of(counts, "id", 20).collect()
+    assert [(x.id, round(x.bm25, 9)) for x in got] == [(x.id, round(x.bm25, 9)) for x in want] and len(got) == 20
+    assert fts.bm25_of(fts.counted(docs.where("1 = 0"), "id", ["red"]), "id").count() == 0
+    twice = fts.counted(docs.where("id = 1").union(docs.where("id = 2")).withColumn("id", F.lit(7).cast("long")), "id", ["red"]).collect()
+    assert len(twice) <= 1  # rows of one key are one document
