@@ -164,3 +164,18 @@ def test_scores_without_a_row_for_each_token(spark, prefix):
     assert fts.bm25_of(fts.counted(docs.where("1 = 0"), "id", ["red"]), "id").count() == 0
     twice = fts.counted(docs.where("id = 1").union(docs.where("id = 2")).withColumn("id", F.lit(7).cast("long")), "id", ["red"]).collect()
     assert len(twice) <= 1  # rows of one key are one document
+
+
+def numbered(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM")
+
+
+def test_what_a_task_holds_is_dealt_by_the_size_of_the_input(spark, sf, tmp_path, monkeypatch):
+    d = Data(spark, sf)
+    assert numbered(d.edges) >= 3 and numbered(graph.undirected_pairs(d.edges)) >= 4 and numbered(graph.fan_out_cap(d.edges, "source_id", 5)) >= 4
+    spark.range(400_000).select("id", F.rand(1).alias("x")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(scratch, "PER_TASK", 1 << 16)
+    one, two = scratch.task_count(t), scratch.task_count(t.union(t))
+    assert one > 10 and abs(two - 2 * one) <= 1 and scratch.dealt(t, "id").rdd.getNumPartitions() == one
+    assert scratch.task_count(spark.createDataFrame([(1,)], "id long")) == 1  # of unknown size
