@@ -179,3 +179,17 @@ def test_what_a_task_holds_is_dealt_by_the_size_of_the_input(spark, sf, tmp_path
     one, two = scratch.task_count(t), scratch.task_count(t.union(t))
     assert one > 10 and abs(two - 2 * one) <= 1 and scratch.dealt(t, "id").rdd.getNumPartitions() == one
     assert scratch.task_count(spark.createDataFrame([(1,)], "id long")) == 1  # of unknown size
+
+
+@pytest.mark.parametrize("search", [lambda e, s: graph.distances(e, s).count(), lambda e, s: graph.reaching(e, s).count(), lambda e, s: graph.expand(s.withColumn("score", F.lit(1.0)), e).count(), lambda e, s: graph.shortest_path(e, 0, 6), lambda e, s: graph.cycles(e).count()])
+def test_edges_are_made_once_for_all_rounds(spark, search):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    rows = spark.createDataFrame([(i, i, i + 1, "CALLS", 0.7, 1.0, "EXTRACTED") for i in range(9)], EDGES)
+    search(rows.mapInPandas(count, EDGES), spark.range(1))
+    assert made.value == 9
