@@ -193,3 +193,11 @@ def test_edges_are_made_once_for_all_rounds(spark, search):
     rows = spark.createDataFrame([(i, i, i + 1, "CALLS", 0.7, 1.0, "EXTRACTED") for i in range(9)], EDGES)
     search(rows.mapInPandas(count, EDGES), spark.range(1))
     assert made.value == 9
+
+
+def test_changes_of_few_commits(spark, sf):
+    d = Data(spark, sf)
+    recent = history.newest(d.commits)
+    want = d.commit_files.join(recent.select("sha"), "sha", "left_semi")
+    assert sorted(map(str, d.changes_of(recent).collect())) == sorted(map(str, want.collect()))
+    assert "Aggregate" not in d.changes_of(recent)._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[-1]  # nothing is summed before
