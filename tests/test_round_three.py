@@ -201,3 +201,14 @@ def test_changes_of_few_commits(spark, sf):
     want = d.commit_files.join(recent.select("sha"), "sha", "left_semi")
     assert sorted(map(str, d.changes_of(recent).collect())) == sorted(map(str, want.collect()))
     assert "Aggregate" not in d.changes_of(recent)._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[-1]  # nothing is summed before
+
+
+def test_pairs_of_ranks_are_dealt_by_the_size_of_the_input(spark, sf, monkeypatch):
+    """The sums over pairs and votes are planned by number, not left to be merged."""
+    plans = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="step": plans.append((name, numbered(df))) or keep(df, name))
+    d = Data(spark, sf)
+    graph.pagerank(d.files.select("id"), d.inner_edges, iterations=1, tolerance=0.0)
+    graph.label_propagation(d.files.select("id"), d.inner_edges, 1)
+    assert [n for name, n in plans if name == "pairs"] >= [4, 4] and all(n >= 1 for name, n in plans[-1:])
